@@ -16,30 +16,39 @@ LAST = 0x2000
 
 
 class LastTokenStates:
-    """vocab: symbol string -> id; ranks: (left, right) -> merge rank."""
+    """vocab: symbol string -> id; ranks: (left, right) -> merge rank. Ids lie below START."""
 
     #: Pairs remembered; beyond that the memory is emptied.
-    MOST_PAIRS = 400_000
+    MOST_PAIRS = 500_000
+    #: Stands before the first token.
+    START = 1 << 20
 
     def __init__(self, vocab: dict[str, int], ranks: dict[tuple[str, str], int]):
+        import ahocorasick
+
         self.vocab, self.ranks = vocab, ranks
-        self.longest = max(map(len, vocab), default=0)
-        self.prefix_longest: dict[str, int] = {}
-        for token in vocab:  # by its last two symbols: the longest token that ends so
-            end = token[-2:]
-            if len(token) > self.prefix_longest.get(end, 0):
-                self.prefix_longest[end] = len(token)
-        self._alone: dict[str, bool] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-
-    def merge(self, symbols: str) -> list[str]:
-        """Plain BPE of a short string: the reference rule by which token pairs are judged."""
+        self.token = {i: t for t, i in vocab.items()}
+        self.ends = ahocorasick.Automaton()
+        for token, i in vocab.items():
+            self.ends.add_word(token, (i, len(token)))
+        self.ends.make_automaton()
+        made = {a + b: r for (a, b), r in reversed(ranks.items())}
+        #: Whether every pair is ranked after what it joins, as in any trained vocabulary; then spines tell all.
+        self.ordered = all(made.get(x, -1) < r for (a, b), r in ranks.items() for x in (a, b))
+        self._pairs: dict[int, bool] = {}
+        self._spines: dict[int, tuple[list, list, bool]] = {}
+
+    def merge(self, symbols: str, seen=None) -> list[str]:
+        """Plain BPE of a short string; seen(parts, rank) is told the parts before each merge."""
         parts, ranks = list(symbols), self.ranks
         while len(parts) > 1:
             found = [(r, i) for i, pair in enumerate(zip(parts, parts[1:])) if (r := ranks.get(pair)) is not None]
             if not found:
                 break
-            left, right = parts[(at := min(found)[1])], parts[at + 1]
+            rank, at = min(found)
+            left, right = parts[at], parts[at + 1]
+            if seen:
+                seen(parts, rank)
             out, i = [], 0
             while i < len(parts):
                 if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
@@ -51,70 +60,84 @@ class LastTokenStates:
             parts = out
         return parts
 
-    def alone(self, token: str) -> bool:
-        known = self._alone.get(token)
-        if known is None:
-            known = self._alone[token] = self.merge(token) == [token]
-        return known
-
-    def together(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        known = self._pairs.get(pair)
+    def spines(self, token: int) -> tuple[list, list, bool]:
+        """The parts that stand at a token's left and right edge while it is merged, each with the rank of the merge that
+        ends it, and whether the token encodes to itself."""
+        known = self._spines.get(token)
         if known is None:
-            if len(self._pairs) > self.MOST_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[pair] = self.merge(left + right) == [left, right]
+            text, left, right, never = self.token[token], [], [], len(self.ranks)
+            steps: list[tuple[str, str, int]] = []
+            whole = self.merge(text, lambda parts, rank: steps.append((parts[0], parts[-1], rank)))
+            steps.append((whole[0], whole[-1], never))
+            for (a, b, rank), (c, d, _) in zip(steps, [*steps[1:], ("", "", 0)]):
+                if c != a:
+                    left.append((a, rank))
+                if d != b:
+                    right.append((b, rank))
+            known = self._spines[token] = (left, right, whole == [text])
         return known
 
-    def extend(self, word: str, last: list[str], count: list[int]) -> None:
+    def judge(self, left: int, right: int) -> bool:
+        """Can `right` follow `left`? Only if no merge ever reaches over the edge between them: of two parts at the edge
+        the pair must not come up before either is merged away on its own side (of equal ranks the left one goes first)."""
+        starts, _, alone = self.spines(right)
+        if not alone or left == self.START:
+            return alone
+        if not self.ordered:
+            return self.merge(self.token[left] + self.token[right]) == [self.token[left], self.token[right]]
+        ranks = self.ranks
+        for x, x_ends in self.spines(left)[1]:
+            for y, y_ends in starts:
+                r = ranks.get((x, y))
+                if r is not None and r < x_ends and r <= y_ends:
+                    return False
+        return True
+
+    def extend(self, word: str, last: list[int], count: list[int]) -> None:
         """last[i] and count[i] hold the states of word[:i]; append those of the longer prefixes up to the whole word."""
-        vocab, pairs, longest_of = self.vocab, self._pairs, self.prefix_longest
-        for i in range(len(last), len(word) + 1):
-            for j in range(max(0, i - longest_of.get(word[max(0, i - 2) : i], 1)), i):
-                token = word[j:i]
-                if token in vocab:
-                    if j == 0:
-                        if self.alone(token):
-                            last.append(token)
-                            count.append(1)
-                            break
-                    else:
-                        pair = (last[j], token)
-                        known = pairs.get(pair)
-                        if known is None:
-                            known = self.alone(token) and self.together(*pair)
-                        elif known:
-                            known = self.alone(token)
-                        if known:
-                            last.append(token)
-                            count.append(count[j] + 1)
-                            break
-            else:
-                raise ValueError(f"no token ends at {i} of {word!r}: the vocabulary lacks a symbol")
+        pairs, done = self._pairs, len(last) - 1
+        if len(pairs) > self.MOST_PAIRS:
+            pairs.clear()
+        for end, (token, length) in self.ends.iter(word):
+            if end != done:
+                if end > done:
+                    break
+                continue
+            j = end + 1 - length
+            key = last[j] << 21 | token
+            known = pairs.get(key)
+            if known is None:
+                known = pairs[key] = self.judge(last[j], token)
+            if known:
+                last.append(token)
+                count.append(count[j] + 1)
+                done += 1
+        if done != len(word):
+            raise ValueError(f"no token ends at {done} of {word!r}: the vocabulary lacks a symbol")
 
     def counts(self, word: str) -> list[int]:
         """The token count of every prefix of a word, the empty one first."""
-        last, count = [""], [0]
+        last, count = [self.START], [0]
         self.extend(word, last, count)
         return count
 
-    def encode_all(self, words: list[str]) -> list[list[str]]:
+    def encode_all(self, words: list[str]) -> list[list[int]]:
         """Encode distinct words, in any order: a depth-first walk over their trie, so that the states of a prefix that
         several words share are computed once. Sorted words visit the trie's leaves depth first; what the next word
         shares with the last one is the part of the path that stays."""
-        out: list[list[str]] = [[] for _ in words]
-        last, count, before = [""], [0], ""
+        out: list[list[int]] = [[] for _ in words]
+        last, count, before, token = [self.START], [0], "", self.token
         for k in sorted(range(len(words)), key=words.__getitem__):
             word, shared, most = words[k], 0, min(len(before), len(words[k]))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :], count[shared + 1 :]
             self.extend(word, last, count)
-            tokens, i = [], len(word)
+            ids, i = [], len(word)
             while i:
-                tokens.append(last[i])
-                i -= len(last[i])
-            out[k], before = tokens[::-1], word
+                ids.append(last[i])
+                i -= len(token[last[i]])
+            out[k], before = ids[::-1], word
         return out
 
 

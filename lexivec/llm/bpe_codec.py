@@ -11,6 +11,7 @@ repeated rows are kept row by row; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import hashlib
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -61,8 +62,8 @@ class WordCodec:
             self.words = {}
         parts = {c: self.split(c) for c in chunks if c not in self.chunks}
         new = list({w for ws in parts.values() for w in ws} - self.words.keys())
-        for word, tokens in zip(new, self.states.encode_all(new)):
-            self.words[word] = np.array([self.vocab[t] for t in tokens], "<u4").tobytes()
+        for word, ids in zip(new, self.states.encode_all(new)):
+            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         for c, ws in parts.items():
             self.chunks[c] = b"".join([self.words[w] for w in ws])
 

@@ -41,6 +41,8 @@ class Counter:
         return [m.span() for m in self.find.finditer(bpe.CLASSES.stand_in(text))]
 
     def pieces(self, text: str) -> int:
+        if text[1:].isalpha() and text.isascii() and text[0] == " ":
+            return self.words[text]
         same = bpe.CLASSES.stand_in(text)
         if same is text:
             return sum(map(self.words.__getitem__, self.find.findall(text)))
