@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.session import importable
+
 #: Rows in an Arrow batch handed to Python; long texts make a batch large, so it stays small.
 BATCH_ROWS = 512
 #: Text bytes that the numpy kernels take at once; one longer text is taken alone.
@@ -47,6 +49,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
