@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import archives, bpe_codec, common, digest, minhash, token_counts, winnowing
+from lexivec.llm import archives, bpe_codec, common, digest, line_dedup, minhash, token_counts, winnowing
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_edited(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_winnowing": op6_winnowing,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_canonical_digest": op8_canonical_digest,
     "op9_archives": op9_archives,
 }
