@@ -28,6 +28,7 @@ class LastTokenStates:
 
         self.vocab, self.ranks = vocab, ranks
         self.token = {i: t for t, i in vocab.items()}
+        self.length = {i: len(t) for t, i in vocab.items()}
         self.ends = ahocorasick.Automaton()
         for token, i in vocab.items():
             self.ends.add_word(token, (i, len(token)))
@@ -126,7 +127,7 @@ class LastTokenStates:
         several words share are computed once. Sorted words visit the trie's leaves depth first; what the next word
         shares with the last one is the part of the path that stays."""
         out: list[list[int]] = [[] for _ in words]
-        last, count, before, token = [self.START], [0], "", self.token
+        last, count, before, length = [self.START], [0], "", self.length
         for k in sorted(range(len(words)), key=words.__getitem__):
             word, shared, most = words[k], 0, min(len(before), len(words[k]))
             while shared < most and before[shared] == word[shared]:
@@ -136,7 +137,7 @@ class LastTokenStates:
             ids, i = [], len(word)
             while i:
                 ids.append(last[i])
-                i -= len(token[last[i]])
+                i -= length[last[i]]
             out[k], before = ids[::-1], word
         return out
 

@@ -37,61 +37,58 @@ class WordCodec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if added else None
         self.symbols = bpe.byte_symbols()
         self.token_of = {i: bpe.unpacked(t) for t, i in self.vocab.items()} | {i: t for t, i in added}
+        self.marked = {c: chr(ord(c) + bpe.LAST) for c in self.symbols}
         self.chunks: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.most = 200_000
+        self.most = 250_000
 
     def split(self, chunk: str) -> list[str]:
         """Its words in the byte-level alphabet, the last symbol of each marked."""
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        text = text.lower()
-        same = bpe.CLASSES.stand_in(text)
-        words = self.find.findall(text) if same is text else [text[m.start() : m.end()] for m in self.find.finditer(same)]
-        out = []
+        marked = self.marked
+        if chunk.isascii():
+            text = chunk.lower()
+            if text.isalpha():
+                return [text[:-1] + marked[text[-1]]]
+            words = self.find.findall(text)
+            if text.isprintable():
+                return [w[:-1] + marked[w[-1]] for w in words]
+        else:
+            text = unicodedata.normalize("NFC", chunk)
+            text = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
+            same = bpe.CLASSES.stand_in(text)
+            words = self.find.findall(text) if same is text else [text[m.start() : m.end()] for m in self.find.finditer(same)]
+        symbol, out = self.symbols.__getitem__, []
         for w in words:
-            s = w if w.isascii() and w.isprintable() else "".join(map(self.symbols.__getitem__, w.encode()))
-            out.append(s[:-1] + chr(ord(s[-1]) + bpe.LAST))
+            s = "".join(map(symbol, w.encode()))
+            out.append(s[:-1] + marked[s[-1]])
         return out
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, wanted: set[str]) -> None:
         """Put chunks into the memory: the trie walk over their new words."""
-        if len(self.chunks) > self.most:
-            self.old, self.chunks = self.chunks, {}
-        if len(self.words) > self.most:
-            self.words = {}
-        parts = {c: self.split(c) for c in chunks if c not in self.chunks}
+        parts = {c: self.split(c) for c in wanted}
         new = list({w for ws in parts.values() for w in ws} - self.words.keys())
+        pack = struct.pack
         for word, ids in zip(new, self.states.encode_all(new)):
-            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            self.words[word] = pack(f"<{len(ids)}I", *ids)
+        words = self.words
         for c, ws in parts.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
+            self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [self.cut.split(t) if self.cut and any(a in t for a in self.added) else [t] for t in texts]
         chunked = [[p.split(" ") if k % 2 == 0 else p for k, p in enumerate(parts)] for parts in cut]
         wanted: set[str] = set()
-        for parts in chunked:
-            for p in parts[::2]:
-                wanted.update(p)
-        wanted -= self.chunks.keys()
-        found = {c: self.old[c] for c in wanted if c in self.old}
-        self.learn(wanted - found.keys())
-        self.chunks |= found
-        get = self.chunks
-        out = []
-        for parts in chunked:
-            ids = []
-            for k, p in enumerate(parts):
-                if k % 2:
-                    ids.append(self.added[p].to_bytes(4, "little"))
-                else:
-                    for c in p:
-                        known = get.get(c)
-                        ids.append(self.old[c] if known is None else known)
-            out.append(b"".join(ids))
-        return out
+        wanted.update(*(p for parts in chunked for p in parts[::2]))
+        old: dict[str, bytes] = {}
+        if len(self.chunks) > self.most:  # what this batch needs stays, the rest is forgotten
+            old, self.chunks = self.chunks, {}
+            self.chunks = {c: old[c] for c in wanted if c in old}
+        if len(self.words) > self.most:
+            self.words = {}
+        self.learn(wanted - self.chunks.keys())
+        known = self.chunks.__getitem__
+        return [b"".join([b"".join(map(known, p)) if k % 2 == 0 else self.added[p].to_bytes(4, "little") for k, p in enumerate(parts)]) for parts in chunked]
 
     def decode(self, ids: bytes) -> str:
         """As the library does with special tokens kept; the file names no decoder, so tokens are joined by spaces."""
