@@ -90,3 +90,29 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+#: 64-bit words of a sieve: 8 MB whatever the input.
+SIEVE_WORDS = 1 << 20
+
+
+class Sieve:
+    """A bitmap of fixed size by the low bits of 64-bit keys. It lets through all keys that it was made of and few others
+    while those are fewer than its 64 million bits; beyond that it lets more through, which costs speed, never rows: an
+    exact join follows wherever it is used. Only the bitmap's filled words come to the driver, 8 MB at most."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        spark = keys.sparkSession
+        words = keys.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias(column)).select(F.expr(f"shiftrightunsigned(`{column}`, 6) & {SIEVE_WORDS - 1}L").alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 AS int))").alias("bit"))
+        found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+        bits = np.zeros(SIEVE_WORDS, np.uint64)
+        if found.num_rows:
+            bits[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        self.shared = spark.sparkContext.broadcast(bits)
+
+    def __getstate__(self):
+        return {"shared": self.shared}
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.view(np.uint64)
+        return (self.shared.value[(keys >> np.uint64(6)) & np.uint64(SIEVE_WORDS - 1)] >> (keys & np.uint64(63))) & np.uint64(1) == 1

@@ -18,6 +18,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,24 +49,30 @@ def likeness(a: str, b: str) -> float:
     return 1.0 if a == b else 0.0
 
 
-def _digests(docs: DataFrame, keep_bytes: bool) -> DataFrame:
+def _digests(docs: DataFrame, shared: common.Sieve | None = None) -> DataFrame:
+    """(digest, low), low being a part of the digest as a number; with a sieve only rows that it lets through, with their
+    canonical bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             whole = [canonical(t).encode() for t in batch.column("text").to_pylist()]
-            columns = [batch.column("id"), pa.array([xxhash.xxh3_128_digest(w) for w in whole], pa.binary())]
-            columns += [pa.array(whole, pa.binary())] if keep_bytes else []
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "whole"][: len(columns)])
+            found = b"".join(map(xxhash.xxh3_128_digest, whole))
+            low = np.frombuffer(found, np.int64)[::2]
+            rows = np.flatnonzero(shared.may_hold(np.ascontiguousarray(low))) if shared else np.arange(len(whole))
+            columns = [pa.array([found[16 * k : 16 * k + 16] for k in rows.tolist()], pa.binary()), pa.array(low[rows])]
+            columns += [pa.array([whole[k] for k in rows.tolist()], pa.binary())] if shared else []
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "low", "whole"][: len(columns)])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary" + ", whole binary" * keep_bytes)
+    return docs.mapInArrow(run, "digest binary, low bigint" + ", whole binary" * bool(shared))
 
 
 def collisions(docs: DataFrame) -> frozenset[str]:
     """Digests that texts of different canonical bytes share: inside each bucket of two rows or more, the least and the
-    greatest bytes are compared. Both sums are partial before the shuffle, so a hot bucket sends one text a task."""
-    shared = _digests(docs, False).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    inside = _digests(docs, True).join(shared, "digest", "left_semi")
-    unequal = inside.groupBy("digest").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select(F.lower(F.hex("digest")).alias("d"))
-    found = [r["d"] for r in unequal.limit(MOST_COLLISIONS + 1).collect()]
+    greatest bytes are compared. Both sums are partial before the shuffle, so a hot bucket sends one text a task; texts
+    that share no digest are sieved out where they are read."""
+    shared = common.materialise(_digests(docs).groupBy("digest", "low").agg(F.count("*").alias("n")).where("n > 1").select("digest", "low"), "shared")
+    inside = _digests(docs, common.Sieve(shared, "low")).groupBy("digest").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
+    found = [r["d"] for r in inside.select(F.lower(F.hex("digest")).alias("d")).limit(MOST_COLLISIONS + 1).collect()]
     if len(found) > MOST_COLLISIONS:
         raise RuntimeError("xxhash no longer tells texts apart")
     return frozenset(found)

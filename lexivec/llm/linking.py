@@ -22,11 +22,12 @@ LEADERS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) to (id, component): the smallest id reachable. Alternates large stars and small stars, cutting lineage by a
-    written table each round; a hub's edges meet in partial minima and skew-split joins."""
+    """(a, b) to (id, component): the smallest id reachable. Alternates large stars and small stars until what is left are
+    stars around their smallest id, cutting lineage by a written table each round; a hub's edges meet in partial minima
+    and skew-split joins."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = common.materialise(e, "edges"), None
-    while True:
+    e = common.materialise(e, "edges")
+    while not _stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -34,28 +35,33 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionAll(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         e = common.materialise(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Does every u have one v, and is no v a u?"""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionAll(e.select("v", F.lit(0)).distinct())
+    return ends.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 OR (n = 1 AND least = 0)").isEmpty()
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """members: (key, id), distinct. verify: distinct pairs (a, b) to those that are linked. Returns edges (a, b) with the
-    components of all links between rows that share a bucket."""
+def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """members: (key, id), distinct. prepare: gets the ids (a column `id`) that share a bucket with others and returns
+    verify, which takes distinct pairs (a, b) to those that are linked. Returns (id, component) of all that have a link,
+    with the components of all links between rows that share a bucket."""
+    members = common.materialise(members, "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    shared = common.materialise(members.join(sizes, "key").where("id <> leader"), "members")
-    pairs = shared.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    edges = common.materialise(verify(pairs), "links")
-    active = shared.where("n > 2").select("key", "id")
+    shared = common.materialise(members.join(sizes, "key"), "shared")
+    verify = prepare(common.materialise(shared.select("id").distinct(), "ids"))
+    follow = shared.where("id <> leader")
+    pairs = follow.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    known = components(verify(pairs))
+    active = follow.where("n > 2").select("key", "id")
     while True:
-        known = components(edges)
         placed = active.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "n")
         placed = common.materialise(placed.join(open_keys, "key"), "open")
         if placed.isEmpty():
-            return edges
+            return known
         few = placed.where(F.col("n") <= SMALL)
         pairs = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id AND x.c <> y.c").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         many = placed.where(F.col("n") > SMALL)
@@ -63,6 +69,6 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
         lead = many.join(weight, ["key", "c"]).groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("w", "id", "c")).alias("s"))
         lead = common.materialise(lead.select("key", F.col("s.id").alias("leader"), F.col("s.c").alias("lc")), "leaders")
         far = many.join(lead, "key").where("c <> lc AND id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
-        found = common.materialise(verify(pairs.unionAll(far).distinct()), "links")
-        edges = common.materialise(edges.unionAll(found), "links")
+        found = verify(pairs.unionAll(far).distinct())
+        known = components(found.unionAll(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
         active = many.join(lead.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti").select("key", "id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm import common
-from lexivec.llm.linking import components, link
+from lexivec.llm.linking import link
 from lexivec.llm.words import NOT_SPACE, Words, mix, split
 
 SHINGLE, HASHES, BANDS, ROWS, BATCH = 5, 128, 25, 5, 16
@@ -103,9 +103,11 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("id", "mark").mapInArrow(run, f"key bigint, id {classes.schema['id'].dataType.simpleString()}")
 
 
-def _full_sets(docs: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, wanted: common.Sieve | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
+            if wanted:
+                batch = batch.filter(pa.array(wanted.may_hold(batch.column("id").fill_null(0).to_numpy().astype(np.int64))))
             sets = shingle_sets(split(batch.column("text"), NOT_SPACE))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
@@ -122,12 +124,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = common.materialise(_sketches(docs), "sketches")
     classes = rows.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("id"), F.first("mark").alias("mark"))
     classes = common.materialise(classes, "classes")
-    members = _bands(classes).distinct()
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = common.materialise(members.join(counts, "key", "left_semi"), "buckets")
-    candidates = common.materialise(members.select("id").distinct(), "candidates")
-    marks = classes.select("id", "mark").join(candidates, "id", "left_semi")
-    sets = common.materialise(_full_sets(docs.join(candidates, "id", "left_semi")), "sets")
     fewest = least_agreements(percent / 100, miss)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +152,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 sure.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def prepare(ids: DataFrame):
+        wanted = common.Sieve(ids, "id") if kind in ("bigint", "int") else None
+        marks = common.materialise(classes.select("id", "mark").join(ids, "id", "left_semi"), "marks")
+        sets = common.materialise(_full_sets(docs, wanted).join(ids, "id", "left_semi"), "sets")
         side = lambda t, c, s: t.select(F.col("id").alias(s), F.col(c).alias(f"{c}_{s}"))
-        likely = pairs.join(side(marks, "mark", "a"), "a").join(side(marks, "mark", "b"), "b").select("a", "b", "mark_a", "mark_b").mapInArrow(compare, f"a {kind}, b {kind}")
-        likely = common.materialise(likely, "likely")
-        full = likely.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b").select("a", "b", "shingles_a", "shingles_b")
-        return full.mapInArrow(confirm, f"a {kind}, b {kind}")
 
-    edges = link(members, verify)
-    found = components(edges)
+        def verify(pairs: DataFrame) -> DataFrame:
+            likely = pairs.join(side(marks, "mark", "a"), "a").join(side(marks, "mark", "b"), "b").select("a", "b", "mark_a", "mark_b").mapInArrow(compare, f"a {kind}, b {kind}")
+            likely = common.materialise(likely, "likely")
+            full = likely.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b").select("a", "b", "shingles_a", "shingles_b")
+            return full.mapInArrow(confirm, f"a {kind}, b {kind}")
+
+        return verify
+
+    found = link(_bands(classes), prepare)
     of_class = classes.select("set_key", F.col("id").alias("first")).join(found.select(F.col("id").alias("first"), "component"), "first", "left")
     of_class = of_class.select("set_key", F.coalesce("component", "first").alias("c"))
     # a repeated id joins all its rows' classes
