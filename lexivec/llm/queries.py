@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import archives, bpe_codec, common, digest, line_dedup, minhash, token_counts, winnowing
+from lexivec.llm import archives, bpe_codec, common, digest, line_dedup, minhash, suffix, token_counts, winnowing
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op9_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400, keep="none", with_bytes=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_minhash": op4_minhash,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_canonical_digest": op8_canonical_digest,
     "op9_archives": op9_archives,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: Fixed value: A-Z to a-z and nothing else.
