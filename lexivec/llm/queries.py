@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexivec.llm import archives, bpe_codec, chat_tree, common, digest, line_dedup, minhash, suffix, token_counts, winnowing
+from lexivec.llm import archives, bpe_codec, chat_tree, common, digest, line_dedup, minhash, suffix, token_counts, toxicity, winnowing
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_toxic", F.size("spans").cast("bigint").alias("n_spans"))
+
+
 def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,6 +65,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_tree": op3_chat_tree,
     "op4_minhash": op4_minhash,
     "op5_bpe_codec": op5_bpe_codec,
