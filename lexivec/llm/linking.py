@@ -1,22 +1,26 @@
 """Links inside candidate buckets and connected components, without ever emitting all pairs of a bucket.
 
 A bucket holds rows that might be linked. Only connectivity matters, so a bucket is done once its rows are in one
-component. Round by round a few leaders of each open bucket are tested against its rows in other components; a tested
-leader leaves the bucket, since every link that it has is known by then. Groups of copies thus close in a round or two with
-one pair a row. Small open buckets are finished at once. The result has the components that testing all pairs would give.
+component. First every row of a bucket is tested against the bucket's smallest id: groups of copies close with one pair a
+row. Buckets that still hold several components (each set of rows once, though many keys hold it) are then resolved where
+their rows meet, while they are under BUCKET_BYTES: rows outside the largest component are compared with those of other
+components, and only what joins two components is emitted. A larger open bucket goes on in rounds: a few leaders are tested
+against its rows in other components and leave it. The result has the components that testing all pairs would give.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm import common
 
-#: Rows of an open bucket up to which its remaining pairs are all tested: at most half as many pairs a row.
-SMALL = 48
+#: What the rows of an open bucket may weigh to be resolved in one task.
+BUCKET_BYTES = 48 << 20
 #: Leaders of a larger open bucket in a round.
 LEADERS = 8
 
@@ -44,31 +48,79 @@ def _stars(e: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 OR (n = 1 AND least = 0)").isEmpty()
 
 
-def link(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """members: (key, id), distinct. prepare: gets the ids (a column `id`) that share a bucket with others and returns
-    verify, which takes distinct pairs (a, b) to those that are linked. Returns (id, component) of all that have a link,
-    with the components of all links between rows that share a bucket."""
+def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable, DataFrame]]) -> DataFrame:
+    """members: (key, id), distinct. prepare gets the ids (a column `id`) that share a bucket with others, and returns
+    verify: distinct pairs (a, b) to those that are linked; resolve: rows (key, id, c), c being the component so far, to
+    links (a, b) that join all components of a key that have any link; and sizes: (id, bytes). Returns (id, component) of
+    all ids that have a link."""
     members = common.materialise(members, "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     shared = common.materialise(members.join(sizes, "key"), "shared")
-    verify = prepare(common.materialise(shared.select("id").distinct(), "ids"))
+    verify, resolve, weights = prepare(common.materialise(shared.select("id").distinct(), "ids"))
     follow = shared.where("id <> leader")
-    pairs = follow.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    known = components(verify(pairs))
-    active = follow.where("n > 2").select("key", "id")
-    while True:
+    known = components(verify(follow.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
+    placed = follow.where("n > 2").select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    of_key = placed.join(weights, "id").groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("content"))
+    once = of_key.where("c1 <> c2").groupBy("n", "content").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes"))
+    placed = common.materialise(placed.join(once.select("key", "bytes"), "key"), "open")
+    if placed.isEmpty():
+        return known
+    found = resolve(placed.where(F.col("bytes") <= BUCKET_BYTES).select("key", "id", "c"))
+    known = components(_and(found, known))
+    active = placed.where(F.col("bytes") > BUCKET_BYTES).select("key", "id")
+    while not active.isEmpty():
         placed = active.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "n")
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
         placed = common.materialise(placed.join(open_keys, "key"), "open")
-        if placed.isEmpty():
-            return known
-        few = placed.where(F.col("n") <= SMALL)
-        pairs = few.alias("x").join(few.alias("y"), "key").where("x.id < y.id AND x.c <> y.c").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        many = placed.where(F.col("n") > SMALL)
-        weight = many.groupBy("key", "c").agg(F.count("*").alias("w"))
-        lead = many.join(weight, ["key", "c"]).groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("w", "id", "c")).alias("s"))
+        weight = placed.groupBy("key", "c").agg(F.count("*").alias("w"))
+        lead = placed.join(weight, ["key", "c"]).groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("w", "id", "c")).alias("s"))
         lead = common.materialise(lead.select("key", F.col("s.id").alias("leader"), F.col("s.c").alias("lc")), "leaders")
-        far = many.join(lead, "key").where("c <> lc AND id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
-        found = verify(pairs.unionAll(far).distinct())
-        known = components(found.unionAll(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        active = many.join(lead.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti").select("key", "id")
+        far = placed.join(lead, "key").where("c <> lc AND id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
+        known = components(_and(verify(far.distinct()), known))
+        active = common.materialise(placed.join(lead.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "active")
+    return known
+
+
+def _and(edges: DataFrame, known: DataFrame) -> DataFrame:
+    return edges.unionAll(known.select(F.col("id").alias("a"), F.col("component").alias("b")))
+
+
+def by_key(solve: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows sorted by `key`: hands the rows of one key at a time to solve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            if held and held[-1].column("key")[0].as_py() != keys[0]:
+                yield solve(pa.Table.from_batches(held))
+                held = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                held.append(batch.slice(a, b - a))
+                if b < len(keys):
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return run
+
+
+def join_components(component: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of rows: each row outside the largest one is tested, by linked(row, others), against
+    the rows that are not in its component as yet."""
+    label = np.unique(component, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    largest = int(np.bincount(label).argmax())
+    for i in np.flatnonzero(label != largest).tolist():
+        others = np.flatnonzero(label != label[i])
+        if not len(others):
+            break
+        for j in linked(i, others).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out

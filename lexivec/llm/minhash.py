@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm import common
-from lexivec.llm.linking import link
+from lexivec.llm.linking import by_key, join_components, link
 from lexivec.llm.words import NOT_SPACE, Words, mix, split
 
 SHINGLE, HASHES, BANDS, ROWS, BATCH = 5, 128, 25, 5, 16
@@ -152,10 +152,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 sure.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        column = lambda c: rows.column(c).chunk(0)
+        marks = _matrix(column("mark"))
+        data, offsets = common.raw_bytes(column("shingles"))
+        sizes = np.diff(offsets) // 8
+        _, local = np.unique(np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)  # shingles numbered in the bucket
+        first = offsets[:-1] // 8
+        present = np.zeros(int(local.max(initial=0)) + 1, bool)
+
+        def linked(i: int, others: np.ndarray) -> np.ndarray:
+            agreed = np.zeros(len(others), np.int64)
+            for k, least in enumerate(fewest):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                agreed = agreed + (marks[others, part] == marks[i, part]).sum(axis=1)
+                others, agreed = others[agreed >= least], agreed[agreed >= least]
+            if not len(others):
+                return others
+            own = local[first[i] : first[i] + sizes[i]]
+            present[own] = True
+            n = sizes[others]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[others], n)
+            both = np.add.reduceat(present[local[at]].astype(np.int64), np.cumsum(n) - n)
+            present[own] = False
+            return others[100 * both >= percent * (n + sizes[i] - both)]
+
+        pairs = join_components(column("c").to_numpy(), linked)
+        ids = column("id")
+        return pa.RecordBatch.from_arrays([ids.take(pa.array([p[0] for p in pairs], pa.int64())), ids.take(pa.array([p[1] for p in pairs], pa.int64()))], names=["a", "b"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def prepare(ids: DataFrame):
         wanted = common.Sieve(ids, "id") if kind in ("bigint", "int") else None
         marks = common.materialise(classes.select("id", "mark").join(ids, "id", "left_semi"), "marks")
         sets = common.materialise(_full_sets(docs, wanted).join(ids, "id", "left_semi"), "sets")
+        weights = sets.select("id", (F.octet_length("shingles") + 4 * HASHES).alias("bytes"))
         side = lambda t, c, s: t.select(F.col("id").alias(s), F.col(c).alias(f"{c}_{s}"))
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -164,7 +197,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             full = likely.join(side(sets, "shingles", "a"), "a").join(side(sets, "shingles", "b"), "b").select("a", "b", "shingles_a", "shingles_b")
             return full.mapInArrow(confirm, f"a {kind}, b {kind}")
 
-        return verify
+        def resolve(placed: DataFrame) -> DataFrame:
+            rows = placed.join(marks, "id").join(sets, "id").select("key", "id", "c", "mark", "shingles")
+            return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(by_key(solve), f"a {kind}, b {kind}")
+
+        return verify, resolve, weights
 
     found = link(_bands(classes), prepare)
     of_class = classes.select("set_key", F.col("id").alias("first")).join(found.select(F.col("id").alias("first"), "component"), "first", "left")
