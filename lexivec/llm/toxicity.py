@@ -291,6 +291,25 @@ def score(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def keep_clean(documents: DataFrame, field: Field, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """All columns of the rows whose score is under `least`. Maps, never shuffles."""
+    common.small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        known = bpe.Memory(model.word)
+        for batch in common.slices(batches, text_col):
+            split = [(t or "").split() for t in batch.column(text_col).to_pylist()]
+            counts = np.array([len(w) for w in split])
+            e = np.fromiter((x for w in split for x in map(known.__getitem__, w)), np.float64, int(counts.sum()))
+            scores = model.scores(*summed(model.marginals(e, firsts(counts)), counts))
+            yield batch.filter(pa.array(scores < least))
+            known.turn()
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def offsets(text: str, words: list[str], tagged: np.ndarray) -> list[dict]:
     """Where tagged words stand; words in a row are one span."""
     out, at = [], 0

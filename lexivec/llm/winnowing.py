@@ -169,6 +169,30 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return found.withColumnRenamed("id", id_col)
 
 
+def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_items: int = 1, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """All columns of the documents that hold windows of fewer than `least_items` items. Maps while the index is small;
+    beyond that rows whose id and text were found contaminated go by an anti-join."""
+    spark = documents.sparkSession
+    common.small_batches(spark)
+    size = benchmark.agg(F.sum(F.octet_length(item_text_col)).alias("n")).first()["n"] or 0
+    if size > index_bytes:
+        marked = documents.withColumn("_row", F.struct(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit("")))))
+        bad = decontaminate(marked, benchmark, "_row", text_col, item_col, item_text_col, least_items, index_bytes).where("contaminated").select("_row").distinct()
+        return marked.join(bad, marked["_row"].eqNullSafe(bad["_row"]), "left_anti").select(documents.columns)
+    rows = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("name"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).collect()
+    shared = spark.sparkContext.broadcast(Index.of([r["name"] for r in rows], [r["text"] for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        sieve = index.sieve()
+        for batch in common.slices(batches, text_col):
+            words = split(batch.column(text_col).fill_null(""), ALPHANUMERIC)
+            found = report(words, find(words, index, sieve), index.names, least_items)
+            yield batch.filter(pa.array([not c for c in found["contaminated"].to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def _broadcast(docs: DataFrame, items: DataFrame, kind: str, least_items: int) -> DataFrame:
     rows = items.collect()  # at most index_bytes of text
     shared = docs.sparkSession.sparkContext.broadcast(Index.of([r["name"] for r in rows], [r["text"] for r in rows]))
