@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,7 @@ from lexivec.llm import bpe, common
 
 BITS = 18
 MOST_DOCS = 3000
-MOST_BYTES = 24 << 20
+MOST_BYTES = 6 << 20
 EDGES = ".,;:!?*$%&#|\"'()[]{}<>-_=+/\\~^`@«»„“”‘’…¡¿"
 
 
@@ -124,53 +123,57 @@ def summed(p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, most
 
 
-def telling_forms(docs: list[list[str]], toxic: list[int], false: float = 0.05) -> set[str]:
-    """Forms that mark toxic documents: a likelihood-ratio test of each form that three documents have, of which at most
-    the share `false` of what is found is chance (Benjamini and Hochberg's step-up rule)."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+def telling_forms(form_ids: np.ndarray, docs: list[np.ndarray], toxic: list[int], false: float = 0.05) -> np.ndarray:
+    """Which forms mark toxic documents: a likelihood-ratio test of each form that three documents have, of which at most
+    the share `false` of what is found is chance (Benjamini and Hochberg's step-up rule). form_ids: four of each word."""
+    n_forms = int(form_ids.max(initial=-1)) + 1
+    counts = np.zeros((2, n_forms), np.int64)
     for words, y in zip(docs, toxic):
-        counts[y].update({f for w in set(words) for f in forms(w)})
-    n = [toxic.count(0), toxic.count(1)]
-    rate, tried, found = n[1] / max(1, sum(n)), 0, []
-    for f in counts[1].keys() | counts[0].keys():
-        a, b = counts[1].get(f, 0), counts[0].get(f, 0)
-        seen = a + b
-        tried += seen >= 3
-        if seen < 3 or a < 0.9 * seen or a <= rate * seen:
-            continue
-        half = a * math.log(a / (rate * seen)) + (b * math.log(b / ((1 - rate) * seen)) if b else 0)
-        found.append((math.exp(-half), f))  # bounds the chance of so many of `seen` in toxic documents
-    found.sort()
-    most = max((k for k, (p, _) in enumerate(found, 1) if p <= false * k / tried), default=0)
-    return {f for _, f in found[:most]}
-
-
-def one_of_copies(docs: list[list[str]]) -> list[int]:
-    """Of documents with the same least hash of five words in a row, the first."""
-    seen, out = set(), []
-    for k, words in enumerate(docs):
+        counts[y, np.unique(form_ids[np.unique(words)])] += 1
+    rate = toxic.count(1) / max(1, len(toxic))
+    a, b = counts[1].astype(float), counts[0].astype(float)
+    seen = a + b
+    telling = np.zeros(n_forms, bool)
+    tried = int((seen >= 3).sum())
+    maybe = np.flatnonzero((seen >= 3) & (a >= 0.9 * seen) & (a > rate * seen))
+    if not len(maybe):
+        return telling
+    a, b, seen = a[maybe], b[maybe], seen[maybe]
+    half = a * np.log(a / (rate * seen)) + np.where(b > 0, b * np.log(np.maximum(b, 1) / ((1 - rate) * seen)), 0)
+    chance = np.exp(-half)  # bounds the chance of so many of `seen` in toxic documents
+    order = np.argsort(chance, kind="stable")
+    passed = np.flatnonzero(chance[order] <= false * np.arange(1, len(order) + 1) / tried)
+    if len(passed):
+        telling[maybe[order[: passed[-1] + 1]]] = True
+    return telling
+
+
+def train(texts: Iterator[str] | list[str], toxic: list[int], prior: float, rounds: int = 60) -> Field:
+    base = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+    types: dict[str, int] = {}
+    seen: set[int] = set()
+    ids: list[np.ndarray] = []
+    labels: list[int] = []
+    for text, y in zip(texts, toxic):
+        words = [w for x in text.split() if (w := bare(x))]
+        # of near copies, which share their least hash of five words in a row, the first
         least = min((zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
         if least not in seen:
             seen.add(least)
-            out.append(k)
-    return out
-
-
-def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60) -> Field:
-    docs = [[w for x in t.split() if (w := bare(x))] for t in texts]
-    unique = one_of_copies(docs)
-    docs, toxic = [docs[k] for k in unique], [toxic[k] for k in unique]
-    base = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+            ids.append(np.fromiter((types.setdefault(w, len(types)) for w in words), np.int32, len(words)))
+            labels.append(y)
+    toxic = labels
     nothing = Field(np.zeros(1 << BITS, np.float32), -6.0, np.zeros((2, 2)), (base, 0.0, 0.0))
     if not 0 < sum(toxic) < len(toxic):
         return nothing
-    types: dict[str, int] = {}
-    ids = [np.array([types.setdefault(w, len(types)) for w in d], np.int64) for d in docs]
-    slot = np.array([slots(w) for w in types], np.int64).reshape(-1, 4)
+    slot = np.array([slots(w) for w in types], np.int32).reshape(-1, 4)
+    named: dict[str, int] = {}
+    form_ids = np.array([named.setdefault(f, len(named)) for w in types for f in forms(w)], np.int32).reshape(-1, 4)
+    del named, types
 
     def fit(chosen: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
-        telling = telling_forms([docs[k] for k in chosen], [toxic[k] for k in chosen])
-        told = np.array([any(f in telling for f in forms(w)) for w in types], bool)
+        telling = telling_forms(form_ids, [ids[k] for k in chosen], [toxic[k] for k in chosen])
+        told = telling[form_ids].any(axis=1)
         flow = np.concatenate([ids[k] for k in chosen])
         counts = np.array([len(ids[k]) for k in chosen])
         first = firsts(counts)
@@ -178,14 +181,14 @@ def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60) ->
         return _fit_field(flow, first, y, slot, rounds)
 
     # the score is fitted on the fourth part of the documents by a field that has not seen them; the field itself on all
-    rest = [k for k in range(len(docs)) if k % 4 == 0]
-    weights, bias, steps = fit([k for k in range(len(docs)) if k % 4] or rest)
-    rest = rest if 0 < sum(toxic[k] for k in rest) < len(rest) else list(range(len(docs)))
+    rest = [k for k in range(len(ids)) if k % 4 == 0]
+    weights, bias, steps = fit([k for k in range(len(ids)) if k % 4] or rest)
+    rest = rest if 0 < sum(toxic[k] for k in rest) < len(rest) else list(range(len(ids)))
     counts = np.array([len(ids[k]) for k in rest])
     flow = np.concatenate([ids[k] for k in rest])
     p = forward_backward((bias + weights[slot].sum(axis=1))[flow], firsts(counts), steps)[0]
     beta = _fit_score(*summed(p, counts), np.array([toxic[k] for k in rest], float), prior, base)
-    weights, bias, steps = fit(list(range(len(docs))))
+    weights, bias, steps = fit(list(range(len(ids))))
     return Field(weights.astype(np.float32), float(bias), steps, beta)
 
 
