@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The word pattern of the tokenizer and the words in font names.
 WORD = r"[A-Za-z0-9_]+"
@@ -82,7 +84,7 @@ def without_fence(reply: Column) -> Column:
     return F.when(bare.startswith("```"), F.regexp_extract(bare, r"(?s)\[.*\]", 0)).otherwise(bare)
 
 
-@F.pandas_udf("double")
-def round1(x):
+@F.pandas_udf(T.DoubleType())
+def round1(x: pd.Series) -> pd.Series:
     """To one decimal as Python rounds; neither of Spark's roundings agrees on halves. An Arrow batch at a time."""
     return x.map(lambda v: round(v, 1), na_action="ignore")

@@ -280,3 +280,127 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rerank_scores_topk, rerank_min_relevance, llm_score_parse, context_string, html_heading_sections, font_statistics, line_breaks, format_sections, term_hashes, hashed_vectors, rag_search, best_turn_rank,
     )
 }
+
+
+_POSTINGS = r"""
+d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM documents),
+tf AS (SELECT id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS length FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY id, term),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n, coalesce(sum(length), 0)::BIGINT AS total, CASE WHEN count(*) > 0 THEN sum(length)::DOUBLE / count(*) ELSE 1.0::DOUBLE END AS avg FROM (SELECT id, any_value(length) AS length FROM tf GROUP BY id))"""
+_IDF = "ln((greatest(1, n) - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE) + 1)"
+
+
+def _tf(average: str) -> str:
+    return f"(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / {average})))"
+
+
+def _asked(text: str = QUERY) -> str:
+    return f"q AS (SELECT term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS length FROM (SELECT len(t) AS n, unnest(t) AS term FROM (SELECT regexp_extract_all(lower('{text}'), '[a-z0-9_]+') AS t)) GROUP BY term)"
+
+
+def _scores(document: str, query: str) -> str:
+    """All scores of the one query; weights in terms of tf, length, df, n and avg."""
+    return f"""s AS (SELECT id, round(sum(wd * wq), 6) AS score FROM (SELECT id, term, {document} AS wd FROM tf JOIN df USING (term), st) JOIN
+     (SELECT term, {query} AS wq FROM q LEFT JOIN df USING (term), st) USING (term) GROUP BY id)"""
+
+
+_BM25 = _scores(f"{_IDF} * {_tf('avg')}", f"{_IDF} * {_tf('avg')}")
+_CLASSIC = _scores(f"{_IDF} * {_tf('avg')}", "1.0::DOUBLE")
+_IDF_ONCE = _scores(f"{_IDF} * {_tf('512.0::DOUBLE')}", _tf("512.0::DOUBLE"))
+
+
+def _best(k: int, name: str = "doc_id") -> str:
+    return f"SELECT id AS {name}, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= {k}"
+
+
+_COSINE = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0),
+o AS (SELECT e AS q FROM v ORDER BY id LIMIT 1),
+c AS (SELECT id, round(coalesce(list_cosine_similarity(e, q), 0), 6) AS score FROM v, o)"""
+
+
+def _near(k: int) -> str:
+    return f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM c QUALIFY rank <= {k}"
+
+
+def _fused(k: int, n_dense: int, n_sparse: int, rrf: str, scores: str) -> str:
+    return f"""WITH {_POSTINGS}, {_asked()}, {scores}, {_COSINE}, a AS ({_near(n_dense)}), b AS ({_best(n_sparse, 'id')}),
+f AS (SELECT id, round(sum(x), 6) AS score FROM (SELECT id, 1.0::DOUBLE / ({rrf} + rank - 1) AS x FROM a UNION ALL SELECT id, 1.0::DOUBLE / ({rrf} + rank - 1) FROM b) GROUP BY id)
+SELECT id AS doc_id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM f QUALIFY rank <= {k}"""
+
+
+_CHATS = _POSTINGS.replace("doc_id AS id", "conv_id || '_' || turn AS id").replace("FROM documents", "FROM conversations")
+
+
+def _chat_best(k: int) -> str:
+    return f"""WITH {_CHATS}, {_asked()}, {_BM25}, b AS ({_best(k, 'id')}),
+ch AS (SELECT conv_id || '_' || turn AS id, conv_id::VARCHAR AS source_document, turn::INTEGER AS chunk_index, (count(*) OVER (PARTITION BY conv_id))::INTEGER AS total, role, text FROM conversations),
+h AS (SELECT ch.*, b.rank FROM ch JOIN b USING (id)),
+e AS (SELECT source_document, i AS chunk_index, min(rank) AS parent FROM (SELECT source_document, total, rank, chunk_index, unnest([chunk_index - 1, chunk_index + 1]) AS i FROM h) WHERE i >= 0 AND i < total GROUP BY ALL),
+x AS (SELECT e.* FROM e ANTI JOIN h USING (source_document, chunk_index)),
+n AS (SELECT ch.*, parent FROM x JOIN ch USING (source_document, chunk_index)),
+w AS (SELECT source_document, chunk_index, text, role, true AS is_hit, rank FROM h UNION ALL
+      SELECT source_document, chunk_index, text, role, false, ((SELECT max(rank) FROM h) + row_number() OVER (ORDER BY parent, source_document, chunk_index))::INTEGER FROM n)"""
+
+
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
+_OVERLAP = f"len(list_intersect(list_distinct({_WORDS.format(repr(QUERY))}), list_distinct({{words}})))::DOUBLE / len(list_distinct({_WORDS.format(repr(QUERY))}))"
+_RERANK = f"""WITH {_POSTINGS}, {_asked()}, {_BM25}, b AS ({_best(20)}),
+r AS (SELECT doc_id, rank AS original_rank, 'Document: ' || source || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || text AS p FROM b JOIN documents USING (doc_id)),
+y AS (SELECT doc_id, original_rank, round({_OVERLAP.format(words="list_transform(regexp_extract_all(p, '[A-Za-z0-9_]+'), lambda x: lower(x))")} * 10, 6) AS relevance_score FROM r)"""
+
+_BLOCKS = """w AS (SELECT doc_id, p, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)),
+bl AS (SELECT 'doc_' || doc_id AS source_document, (p - 1) * 100000 + w AS seq, p::INTEGER AS page_number, word, w, CASE WHEN regexp_matches(word, '^[A-Z]') THEN 14.04::DOUBLE WHEN length(word) > 9 THEN 12.04::DOUBLE ELSE 10.04::DOUBLE END AS size FROM w WHERE regexp_matches(word, '[^\\s]'))"""
+
+_HEADING = "(?is)<h([1-3])\\b[^>]*>(.*?)</h[1-3]\\s*>"
+
+ORACLES: dict[str, str] = {
+    "tokenize_counts": f"WITH {_POSTINGS} SELECT id AS doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM d",
+    "term_frequency": f"WITH {_POSTINGS} SELECT id AS doc_id, term, tf, length FROM tf",
+    "document_frequency": f"WITH {_POSTINGS} SELECT term, df FROM df",
+    "corpus_stats": f"WITH {_POSTINGS} SELECT n::BIGINT AS n, total AS total_length, round(avg, 6) AS average_length, (SELECT count(*) FROM df)::BIGINT AS n_terms FROM st",
+    "bm25_weights": f"WITH {_POSTINGS} SELECT id AS doc_id, term, round({_IDF} * {_tf('avg')}, 6) AS weight FROM tf JOIN df USING (term), st",
+    "tf_sparse_weights": f"WITH {_POSTINGS} SELECT id AS doc_id, term, round({_tf('512.0::DOUBLE')}, 6) AS weight FROM tf",
+    "bm25_topk": f"WITH {_POSTINGS}, {_asked()}, {_BM25} {_best(10)}",
+    "bm25_classic_topk": f"WITH {_POSTINGS}, {_asked()}, {_CLASSIC} {_best(10)}",
+    "idf_query_topk": f"WITH {_POSTINGS}, {_asked()}, {_IDF_ONCE} {_best(10)}",
+    "bm25_batch_topk": f"""WITH {_POSTINGS},
+q AS (SELECT query_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS length FROM (SELECT query_id, len(t) AS n, unnest(t) AS term FROM (SELECT item_id AS query_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM benchmark)) GROUP BY query_id, term),
+s AS (SELECT query_id, id AS doc_id, round(sum(wd * wq), 6) AS score FROM (SELECT id, term, {_IDF} * {_tf('avg')} AS wd FROM tf JOIN df USING (term), st) JOIN (SELECT query_id, term, {_IDF} * {_tf('avg')} AS wq FROM q LEFT JOIN df USING (term), st) USING (term) GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
+    "cosine_topk": f"WITH {_COSINE} SELECT id AS vec_id, score, rank FROM ({_near(10)})",
+    "cosine_batch_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0),
+c AS (SELECT q.vec_id AS query_id, v.vec_id, round(coalesce(list_cosine_similarity(q.e, v.e), 0), 6) AS score FROM v q, v WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM c QUALIFY rank <= 10""",
+    "l2_normalize_norms": "SELECT vec_id, round(n, 6) AS norm, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS unit_norm, round(e[1] / greatest(n, 1e-12), 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)",
+    "centroid_by_label": "SELECT label, (pos - 1)::INTEGER AS pos, round(avg(x), 6) AS mean, count(*)::BIGINT AS n FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL",
+    "prefetch_topk": f"WITH {_POSTINGS}, {_asked()}, {_BM25}, {_COSINE} SELECT 'dense' AS side, id, score, rank FROM ({_near(28)}) UNION ALL SELECT 'sparse', id, score, rank FROM ({_best(12, 'id')})",
+    "hybrid_topk": _fused(10, 28, 12, "2.0::DOUBLE", _BM25),
+    "rrf_fusion": _fused(20, 50, 50, "60.0::DOUBLE", _CLASSIC),
+    "fixed_stride_chunks": f"""WITH {_POSTINGS}, n AS (SELECT id, t, greatest(1, ceil((len(t) - 16) / 112.0::DOUBLE))::BIGINT AS total FROM d WHERE len(t) > 0),
+c AS (SELECT id, t, total, unnest(range(total)) AS i FROM n)
+SELECT id AS doc_id, i::BIGINT AS chunk_index, total AS chunk_total, len(t[i * 112 + 1:i * 112 + 128])::BIGINT AS n_tokens, sha1(array_to_string(t[i * 112 + 1:i * 112 + 128], ' ')) AS text_sha1 FROM c""",
+    "chunk_ids": "SELECT doc_id, 'doc_' || doc_id || '_bookmark_' || substr(sha1(lang || ' > ' || source), 1, 12) || '_chunk_0' AS chunk_id, 'doc_' || doc_id || '_bookmark_nosection_chunk_0' AS bare_id, substr(sha1(lang || ' > ' || source), 1, 10) AS short_hash FROM documents",
+    "embedding_text": "SELECT doc_id, sha1(t) AS text_sha1, length(t)::BIGINT AS n_chars FROM (SELECT doc_id, 'Document: ' || source || chr(10) || 'Section: ' || CASE WHEN lang = 'en' THEN 'body' ELSE lang END || chr(10) || chr(10) || text AS t FROM documents)",
+    "adjacent_expand": f"{_chat_best(20)} SELECT source_document, chunk_index, is_hit, rank FROM w",
+    "fetch_by_indices": "SELECT conv_id::VARCHAR AS source_document, turn::INTEGER AS chunk_index, sha1(text) AS text_sha1 FROM conversations WHERE conv_id BETWEEN 0 AND 29 AND turn IN (0, 2)",
+    "upsert_latest": "SELECT chunk_id, sha1(text) AS text_sha1 FROM (SELECT item_id AS chunk_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark))",
+    "delete_document": "SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src0'",
+    "rerank_scores_topk": f"{_RERANK} SELECT doc_id, relevance_score, original_rank, row_number() OVER (ORDER BY relevance_score DESC, original_rank)::INTEGER AS new_rank FROM y QUALIFY new_rank <= 5",
+    "rerank_min_relevance": f"{_RERANK} SELECT doc_id, relevance_score, original_rank, row_number() OVER (ORDER BY relevance_score DESC, original_rank)::INTEGER AS new_rank FROM y WHERE relevance_score >= 7 QUALIFY new_rank <= 5",
+    "llm_score_parse": "SELECT doc_id, (i - 1)::BIGINT AS pos, CASE WHEN doc_id % 5 IN (2, 3) THEN 5.0::DOUBLE WHEN i = 1 THEN least(10, n_chars % 14)::DOUBLE WHEN i = 2 THEN 5.0::DOUBLE ELSE 2.5::DOUBLE END AS score FROM documents, (SELECT unnest([1, 2, 3]) AS i)",
+    "context_string": f"""{_chat_best(5)} SELECT 0 AS query_id, 'Context from documents:' || chr(10) || chr(10) || string_agg('[Source: ' || source_document || ', Section: ' || role || ', Pages: ' || chunk_index || '-' || chunk_index || ']' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS context FROM w WHERE is_hit""",
+    "html_heading_sections": f"""WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{_HEADING}', 1) AS a, regexp_extract_all(coalesce(html, ''), '{_HEADING}', 2) AS b FROM pages),
+r AS (SELECT page_id, unnest(a)::INTEGER AS level, unnest(b) AS h, generate_subscripts(a, 1) - 1 AS i FROM l),
+x AS (SELECT page_id, level, i, trim(regexp_replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g')) AS h FROM r),
+y AS (SELECT *, last_value(CASE WHEN level = 1 THEN i END IGNORE NULLS) OVER o AS i1, last_value(CASE WHEN level = 1 THEN h END IGNORE NULLS) OVER o AS h1, last_value(CASE WHEN level = 2 THEN i END IGNORE NULLS) OVER o AS i2, last_value(CASE WHEN level = 2 THEN h END IGNORE NULLS) OVER o AS h2
+      FROM x WINDOW o AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT page_id, i::BIGINT AS section_index, level, h AS heading, concat_ws(' > ', h1, CASE WHEN level >= 2 AND i2 > coalesce(i1, -1) THEN h2 END, CASE WHEN level = 3 THEN h END) AS heading_path FROM y""",
+    "font_statistics": f"""WITH {_BLOCKS}, c AS (SELECT source_document, round(size, 1) AS r, count(*) AS n, min(seq) AS seen, sum(size) AS s, max(size) AS hi, min(size) AS lo FROM bl GROUP BY ALL),
+b AS (SELECT source_document, sum(s) / sum(n) AS a, max(hi) AS hi, min(lo) AS lo, arg_max(r, n * 1000000000000 - seen) AS body FROM c GROUP BY 1)
+SELECT source_document, round(a, 6) AS average_size, hi AS max_size, lo AS min_size, body AS body_size, coalesce((SELECT string_agg(r::VARCHAR, ',' ORDER BY r DESC) FROM c WHERE c.source_document = b.source_document AND r > body * 1.1::DOUBLE), '') AS heading_sizes FROM b""",
+    "line_breaks": f"""WITH {_BLOCKS}, t AS (SELECT *, floor(w / 7) * 12.0 AS top FROM bl)
+SELECT source_document, page_number, sum(b)::BIGINT AS n_breaks, count(*)::BIGINT AS n_words FROM (SELECT source_document, page_number, coalesce(top - lag(top) OVER (PARTITION BY source_document, page_number ORDER BY w) > 8, false)::INTEGER AS b FROM t) GROUP BY 1, 2""",
+    "rag_search": f"""{_chat_best(10)}, z AS (SELECT source_document, chunk_index, is_hit, rank AS original_rank, round({_OVERLAP.format(words="list_transform(regexp_extract_all('Document: ' || source_document || chr(10) || 'Section: ' || role || chr(10) || chr(10) || text, '[A-Za-z0-9_]+'), lambda x: lower(x))")} * 10, 6) AS relevance_score FROM w)
+SELECT source_document, chunk_index, is_hit, relevance_score, original_rank, row_number() OVER (ORDER BY relevance_score DESC, original_rank)::INTEGER AS new_rank FROM z QUALIFY new_rank <= 5""",
+    "best_turn_rank": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn)::INTEGER AS rank FROM conversations",
+}
