@@ -55,6 +55,7 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Call
     all ids that have a link."""
     members = common.materialise(members, "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
+    sizes = common.materialise(sizes, "sizes")  # a join of two plain shuffles can be split where a bucket is hot
     shared = common.materialise(members.join(sizes, "key"), "shared")
     verify, resolve, weights = prepare(common.materialise(shared.select("id").distinct(), "ids"))
     follow = shared.where("id <> leader")

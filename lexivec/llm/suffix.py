@@ -242,6 +242,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     solved = common.materialise(solved, "solved")
     # a segment that occurs several times is matched as a whole, but for its first place if that is kept
     judged = classes.select("anchor", "segment", "n", "first").join(solved, ["anchor", "segment"], "left").where("n > 1 OR spans IS NOT NULL")
+    judged = common.materialise(judged, "judged")  # a join of two plain shuffles can be split where a segment is hot
     mine = runs.join(judged, ["anchor", "segment"])
     all_of_it = F.col("n") > 1 if keep == "none" else (F.col("n") > 1) & (place != F.col("first"))
     span = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
