@@ -59,5 +59,5 @@ def read_stats_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     stats = raw.select(n.alias("n"), total.alias("total_length"), F.when(n > 0, F.try_divide(total.cast("double"), n)).otherwise(1.0).alias("average_length"))
     if "frequencies" not in known:
         return spark.createDataFrame([], "term bigint, df bigint"), stats
-    pairs = raw.select(F.explode(F.from_json(F.to_json(F.col(known["frequencies"])), "map<string,bigint>")).alias("term", "df"))
-    return pairs.select(F.col("term").cast("bigint").alias("term"), "df"), stats
+    pairs = raw.select(F.explode(F.from_json(F.to_json(F.col(known["frequencies"])), "map<string,string>")).alias("term", "df"))
+    return pairs.select(F.col("term").cast("bigint").alias("term"), F.col("df").cast("bigint").alias("df")), stats
