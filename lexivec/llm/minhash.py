@@ -208,5 +208,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_class = of_class.select("set_key", F.coalesce("component", "first").alias("c"))
     # a repeated id joins all its rows' classes
     out = rows.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.coalesce("c", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -157,10 +157,10 @@ def _segments(docs: DataFrame, length: int, wanted: common.Sieve | None = None)
 
 
 def _resolve(length: int, keep: str):
-    """Rows (anchor, segment, place, whole) sorted by anchor to (anchor, segment, spans): which starts are matched."""
+    """Rows (anchor, segment, place, version, low, whole) sorted by anchor to (anchor, segment, spans): which starts are matched."""
     schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
-    def solve(anchor: np.ndarray, segment: np.ndarray, place: np.ndarray, whole: list[bytes]) -> pa.RecordBatch:
+    def solve(anchor: np.ndarray, segment: np.ndarray, place: np.ndarray, version: np.ndarray, low: np.ndarray, whole: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(w) for w in whole])
         data, offset = np.frombuffer(b"".join(whole), np.uint8), np.cumsum(sizes) - sizes
         n = sizes - length + 1
@@ -168,31 +168,35 @@ def _resolve(length: int, keep: str):
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         # positions in the order of the segments' first places, then inside them
         turn = np.empty(len(n), np.int64)
-        turn[np.argsort(place, kind="stable")] = np.arange(len(n))
+        turn[np.lexsort((low, version, place))] = np.arange(len(n))
         hit = matched(data, inside + offset[of], (turn[of] << 32) + inside, length, keep)
         spans = [spans_of(h).tolist() for h in np.split(hit, np.cumsum(n)[:-1])]
         some = [k for k, s in enumerate(spans) if s]
         return pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(segment[some]), pa.array([spans[k] for k in some], schema.field("spans").type)], schema=schema)
 
+    numbers = ("anchor", "segment", "place", "version", "low")
+
+    def joined(held: list[pa.RecordBatch]) -> list:
+        return [*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in numbers), [w for h in held for w in h.column("whole").to_pylist()]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append((batch.column("anchor").to_numpy(), batch.column("segment").to_numpy(), batch.column("place").to_numpy(), batch.column("whole").to_pylist()))
-            size += batch.column("whole").nbytes
-            if size > BLOCK:
-                anchor, segment, place = (np.concatenate([h[k] for h in held]) for k in range(3))
-                whole = [w for h in held for w in h[3]]
-                cut = int(np.searchsorted(anchor == anchor[-1], True)) if anchor[0] != anchor[-1] else 0
-                if cut:
-                    yield solve(anchor[:cut], segment[:cut], place[:cut], whole[:cut])
-                    held = [(anchor[cut:], segment[cut:], place[cut:], whole[cut:])]
-                    size = sum(map(len, held[0][3]))
+            if held and size > BLOCK and held[-1].column("anchor")[-1] != batch.column("anchor")[0]:
+                yield solve(*joined(held))
+                held, size = [], 0
+            keys = batch.column("anchor").to_numpy()
+            cut = int(np.searchsorted(keys == keys[-1], True)) if size + batch.nbytes > BLOCK else 0
+            if cut:  # all but the last anchor is complete
+                yield solve(*joined([*held, batch.slice(0, cut)]))
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += common.byte_lengths(batch.column("whole")).sum()
         if held:
-            anchor, segment, place = (np.concatenate([h[k] for h in held]) for k in range(3))
-            yield solve(anchor, segment, place, [w for h in held for w in h[3]])
+            yield solve(*joined(held))
 
     return run
 
@@ -207,10 +211,10 @@ def _by_hash(rows: DataFrame, length: int, keep: str) -> DataFrame:
                 h = Rolling(whole).windows(length)
                 n = len(h)
                 same = lambda c: pa.array(np.repeat(batch.column(c)[k].as_py(), n), pa.int64())
-                yield pa.RecordBatch.from_arrays([same("anchor"), same("segment"), same("place"), pa.array(np.arange(n), pa.int32()), pa.array(h.view(np.int64))], names=["anchor", "segment", "place", "at", "h"])
+                yield pa.RecordBatch.from_arrays([same("anchor"), same("segment"), same("place"), same("version"), same("low"), pa.array(np.arange(n), pa.int32()), pa.array(h.view(np.int64))], names=["anchor", "segment", "place", "version", "low", "at", "h"])
 
-    strings = rows.mapInArrow(run, "anchor bigint, segment bigint, place bigint, at int, h bigint")
-    here = F.struct("place", "segment", "at")
+    strings = rows.mapInArrow(run, "anchor bigint, segment bigint, place bigint, version bigint, low bigint, at int, h bigint")
+    here = F.struct("place", "version", "low", "at")
     several = strings.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
     hits = strings.join(several, ["anchor", "h"])
     hits = hits if keep == "none" else hits.where(here != F.col("first"))
@@ -227,14 +231,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = common.materialise(_segments(docs, length), "runs")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "version", "low")
-    # a number that orders places as far as an id is a number; for keep="first" ties between texts are broken by hash
+    # ids that are not numbers are ordered by a hash where unequal segments meet
     number = F.coalesce(F.col("id").cast("bigint"), F.lit((1 << 62))) if docs.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("id")
-    classes = runs.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min(number).alias("place"))
+    classes = runs.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min(F.struct(number.alias("place"), "version", "low")).alias("at"))
     several = runs.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
     classes = common.materialise(classes.join(several, "anchor"), "classes")
     contested = common.materialise(classes.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1"), "contested")
-    whole = _segments(docs, length, common.Sieve(contested, "anchor")).join(classes.join(contested, "anchor").select("anchor", "segment", "place", "segments"), ["anchor", "segment"])
-    whole = common.materialise(whole.groupBy("anchor", "segment").agg(F.first("whole").alias("whole"), F.min("place").alias("place"), F.min("segments").alias("segments")), "segments")
+    whole = _segments(docs, length, common.Sieve(contested, "anchor")).join(classes.join(contested, "anchor").select("anchor", "segment", "at.*", "segments"), ["anchor", "segment"])
+    of_class = [F.min(c).alias(c) for c in ("place", "version", "low", "segments")]  # one value in a class
+    whole = common.materialise(whole.groupBy("anchor", "segment").agg(F.first("whole").alias("whole"), *of_class), "segments")
     small = whole.where(F.col("segments") <= MOST).repartition(parts, "anchor").sortWithinPartitions("anchor", "segment")
     solved = small.mapInArrow(_resolve(length, keep), "anchor bigint, segment bigint, spans array<array<int>>")
     if not whole.where(F.col("segments") > MOST).isEmpty():

@@ -28,6 +28,7 @@ class Counter:
 
         self.states, _, added = bpe.load(path)
         self.find, self.blank = regex.compile(PATTERN), regex.compile(r" \s| \Z")
+        self.before_space = regex.compile(r"\s ")
         self.added = regex.compile("(" + "|".join(regex.escape(a) for a, _ in added) + ")") if added else None
         self.added_first = [a for a, _ in added]
         self.symbols = bpe.byte_symbols()
@@ -120,17 +121,15 @@ class Counter:
         """The largest p such that text[:p] has at most `limit` tokens, read off the prefix counts of the one chunk in
         which the limit is passed."""
         total = start = 0
-        for k, part in enumerate(self.parts(text)):
-            chunks = [part] if k % 2 == 0 and self.blank.search(part) else part.split(" ") if k % 2 == 0 else [part]
-            for j, chunk in enumerate(chunks):
-                piece = (" " if j else "") + chunk
-                more = 1 if k % 2 else self.pieces(piece)
-                if total + more > limit:
-                    if k % 2:
-                        return start
-                    counts = self.prefix_counts(piece)
-                    return start + max(p for p, c in enumerate(counts) if total + c <= limit)
-                total, start = total + more, start + len(piece)
+        # where blanks or added tokens meet a cut, a longer prefix can have fewer tokens: then the text is one chunk
+        whole = len(self.parts(text)) > 1 or self.blank.search(text) or self.before_space.search(text)
+        for j, chunk in enumerate([text] if whole else text.split(" ")):
+            piece = (" " if j else "") + chunk
+            more = limit + 1 if whole else self.pieces(piece)
+            if total + more > limit:
+                counts = self.prefix_counts(piece)
+                return start + max(p for p, c in enumerate(counts) if total + c <= limit)
+            total, start = total + more, start + len(piece)
         return start
 
 

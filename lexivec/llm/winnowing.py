@@ -176,9 +176,9 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     common.small_batches(spark)
     size = benchmark.agg(F.sum(F.octet_length(item_text_col)).alias("n")).first()["n"] or 0
     if size > index_bytes:
-        marked = documents.withColumn("_row", F.struct(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit("")))))
-        bad = decontaminate(marked, benchmark, "_row", text_col, item_col, item_text_col, least_items, index_bytes).where("contaminated").select("_row").distinct()
-        return marked.join(bad, marked["_row"].eqNullSafe(bad["_row"]), "left_anti").select(documents.columns)
+        marked = documents.withColumn("__lexivec_row", F.struct(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit("")))))
+        bad = decontaminate(marked, benchmark, "__lexivec_row", text_col, item_col, item_text_col, least_items, index_bytes).where("contaminated").select("__lexivec_row").distinct()
+        return marked.join(bad, marked["__lexivec_row"].eqNullSafe(bad["__lexivec_row"]), "left_anti").select(documents.columns)
     rows = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("name"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).collect()
     shared = spark.sparkContext.broadcast(Index.of([r["name"] for r in rows], [r["text"] for r in rows]))
 
