@@ -7,7 +7,7 @@ the idf; classic=True gives query terms the weight 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,9 +15,15 @@ from lexivec.functions.scores import FIXED_LENGTH, idf, term_weight
 from lexivec.functions.text import term_hash, tokens
 
 
+def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, length, term), one row a token. The outer explode keeps the optimizer from tokenising twice, once to filter."""
+    found = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_t"))
+    return found.select("id", F.size("_t").cast("bigint").alias("length"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL")
+
+
 def term_frequency(docs: DataFrame, id_col: str, text_col: str, hash_terms: bool = False) -> DataFrame:
     """(id, term, tf, length). With hash_terms terms are their CRC-32 numbers, and those that collide become one."""
-    found = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_t")).select("id", F.size("_t").cast("bigint").alias("length"), F.explode("_t").alias("term"))
+    found = _exploded(docs, id_col, text_col)
     found = found.withColumn("term", term_hash(F.col("term"))) if hash_terms else found
     return found.groupBy("id", "term", "length").agg(F.count("*").alias("tf")).select("id", "term", "tf", "length")
 
@@ -26,23 +32,27 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(postings: DataFrame) -> DataFrame:
-    """One row: n, total_length, average_length (1.0 if n = 0), n_terms."""
-    docs = postings.groupBy("id").agg(F.first("length").alias("length"))
-    one = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
-    terms = postings.agg(F.countDistinct("term").alias("n_terms"))
-    return one.crossJoin(terms).select("n", "total_length", F.when(F.col("n") > 0, F.try_divide(F.col("total_length").cast("double"), F.col("n"))).otherwise(1.0).alias("average_length"), "n_terms")
+def corpus_totals(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row from one scan: n (documents with tokens), total_length, average_length (1.0 if n = 0)."""
+    sizes = docs.select(F.size(tokens(F.col(text_col))).cast("bigint").alias("length"))
+    one = sizes.agg(F.count_if(F.col("length") > 0).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
+    return one.withColumn("average_length", F.when(F.col("n") > 0, F.try_divide(F.col("total_length").cast("double"), F.col("n"))).otherwise(1.0))
+
+
+def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """corpus_totals and n_terms, the number of distinct terms."""
+    terms = _exploded(docs, id_col, text_col).agg(F.countDistinct("term").alias("n_terms"))
+    return corpus_totals(docs, text_col).crossJoin(terms)  # one row each
 
 
-def _with_stats(postings: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
-    return postings.join(df, "term", "left").crossJoin(F.broadcast(stats.select("n", "average_length")))  # stats is one row
+def _with_stats(postings: DataFrame, df: DataFrame, totals: DataFrame) -> DataFrame:
+    return postings.join(df, "term", "left").crossJoin(F.broadcast(totals.select("n", "average_length")))  # totals is one row
 
 
-def bm25_weights(postings: DataFrame, df: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """(id, term, weight)."""
-    df, stats = df or document_frequency(postings), stats or corpus_stats(postings)
+def bm25_weights(postings: DataFrame, df: DataFrame, totals: DataFrame) -> DataFrame:
+    """(id, term, weight); df and totals may be of these postings or a frozen snapshot."""
     weight = idf(F.col("df"), F.col("n")) * term_weight(F.col("tf"), F.col("length"), F.col("average_length"))
-    return _with_stats(postings, df, stats).select("id", "term", weight.alias("weight"))
+    return _with_stats(postings, df, totals).select("id", "term", weight.alias("weight"))
 
 
 def tf_weights(postings: DataFrame) -> DataFrame:
@@ -60,29 +70,21 @@ def unpacked(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.inline("vector")).withColumnRenamed("idx", "term").withColumnRenamed("val", "weight")
 
 
-def queries_of(spark: SparkSession, texts: dict) -> DataFrame:
-    return spark.createDataFrame(list(texts.items()), ["query_id", "query"])
-
-
-def _query_terms(queries: DataFrame) -> DataFrame:
-    return term_frequency(queries, "query_id", "query").withColumnRenamed("id", "query_id")
-
-
-def sparse_scores(postings: DataFrame, queries: DataFrame, mode: str = "bm25", classic: bool = False, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def sparse_scores(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, mode: str = "bm25", classic: bool = False, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, id, score) of all rows that share a term with a query (query_id, query): an inverted-index join on terms.
-    mode "bm25": BM25 on both sides; "idf": TF weights on both sides and the idf once. Only postings of query terms are
-    weighted; their number is never more than the postings of those terms."""
-    df, total = stats or (document_frequency(postings), corpus_stats(postings))
-    asked = _query_terms(queries)
+    mode "bm25": BM25 on both sides; "idf": TF weights on both sides and the idf once. Tokens that no query has are dropped
+    before anything is counted or shuffled; the lengths of all texts come from one more scan. stats: (df, totals)."""
+    asked = term_frequency(queries, "query_id", "query").withColumnRenamed("id", "query_id")
     wanted = asked.select("term").distinct()
-    mine = _with_stats(postings.join(wanted, "term", "left_semi"), df.join(wanted, "term", "left_semi"), total)
-    theirs = asked.join(df, "term", "left").crossJoin(F.broadcast(total.select("n", "average_length")))
+    hits = _exploded(docs, id_col, text_col).join(wanted, "term", "left_semi")
+    postings = hits.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    df, totals = stats or (document_frequency(postings), corpus_totals(docs, text_col))
     rarity = idf(F.col("df"), F.col("n"))
     average: Column | float = F.col("average_length") if mode == "bm25" else FIXED_LENGTH
     own = term_weight(F.col("tf"), F.col("length"), average)
-    ours = mine.select("id", "term", (rarity * own).alias("wd"))
+    ours = _with_stats(postings, df, totals).select("id", "term", (rarity * own).alias("wd"))
     side = F.lit(1.0) if classic else (rarity if mode == "bm25" else F.lit(1.0)) * own
-    theirs = theirs.select("query_id", "term", side.alias("wq"))
+    theirs = _with_stats(asked, df, totals).select("query_id", "term", side.alias("wq"))
     return ours.join(theirs, "term").groupBy("query_id", "id").agg(F.sum(F.col("wd") * F.col("wq")).alias("score"))
 
 

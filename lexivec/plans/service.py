@@ -14,7 +14,7 @@ from lexivec.operators.adjacency import expand
 from lexivec.operators.chunking import Chunker, chunk_sections, embedding_text
 from lexivec.operators.dense import cosine_batch_top_k, embed, hashed_embedding
 from lexivec.operators.fusion import fuse, prefetch_sizes
-from lexivec.operators.sparse import sparse_scores, term_frequency, top_k
+from lexivec.operators.sparse import sparse_scores, top_k
 from lexivec.sources.store import ChunkStore
 
 
@@ -58,7 +58,7 @@ class RagService:
         dense = lambda n: cosine_batch_top_k(chunks, vectors, n, "chunk_id").withColumnRenamed("chunk_id", "id")
         if s.mode == "dense":
             return dense(k).withColumnRenamed("id", "chunk_id")
-        found = top_k(sparse_scores(term_frequency(chunks, "chunk_id", "text"), queries, "idf" if s.mode == "hybrid_idf" else "bm25"), k if s.mode == "sparse" else n_sparse)
+        found = top_k(sparse_scores(chunks, "chunk_id", "text", queries, "idf" if s.mode == "hybrid_idf" else "bm25"), k if s.mode == "sparse" else n_sparse)
         return (found if s.mode == "sparse" else fuse([dense(n_dense), found], k, s.rrf_k)).withColumnRenamed("id", "chunk_id")
 
     def search(self, query: str, k: int = 5) -> DataFrame:

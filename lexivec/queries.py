@@ -45,11 +45,13 @@ def document_frequency(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    return sparse.corpus_stats(postings(spark, sf_dir)).withColumn("average_length", F.round("average_length", 6))
+    return sparse.corpus_stats(read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("average_length", F.round("average_length", 6))
 
 
 def bm25_weights(spark, sf_dir):
-    return sparse.bm25_weights(postings(spark, sf_dir)).select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
+    found = postings(spark, sf_dir)
+    weights = sparse.bm25_weights(found, sparse.document_frequency(found), sparse.corpus_totals(read(spark, sf_dir, "documents"), "text"))
+    return weights.select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
 
 
 def tf_sparse_weights(spark, sf_dir):
@@ -61,20 +63,20 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark, sf_dir):
-    return _named(sparse.top_k(sparse.sparse_scores(postings(spark, sf_dir), asked(spark)), 10))
+    return _named(sparse.top_k(sparse.sparse_scores(read(spark, sf_dir, "documents"), "doc_id", "text", asked(spark)), 10))
 
 
 def bm25_classic_topk(spark, sf_dir):
-    return _named(sparse.top_k(sparse.sparse_scores(postings(spark, sf_dir), asked(spark), classic=True), 10))
+    return _named(sparse.top_k(sparse.sparse_scores(read(spark, sf_dir, "documents"), "doc_id", "text", asked(spark), classic=True), 10))
 
 
 def idf_query_topk(spark, sf_dir):
-    return _named(sparse.top_k(sparse.sparse_scores(postings(spark, sf_dir), asked(spark), "idf"), 10))
+    return _named(sparse.top_k(sparse.sparse_scores(read(spark, sf_dir, "documents"), "doc_id", "text", asked(spark), "idf"), 10))
 
 
 def bm25_batch_topk(spark, sf_dir):
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return sparse.top_k(sparse.sparse_scores(postings(spark, sf_dir), queries), 5).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return sparse.top_k(sparse.sparse_scores(read(spark, sf_dir, "documents"), "doc_id", "text", queries), 5).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 def _vector(df: DataFrame) -> list[float]:
@@ -105,7 +107,7 @@ def centroid_by_label(spark, sf_dir):
 def _prefetch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     n_dense, n_sparse = fusion.prefetch_sizes(10)
     near = cosine_topk_n(spark, sf_dir, n_dense)
-    return near, sparse.top_k(sparse.sparse_scores(postings(spark, sf_dir), asked(spark)), n_sparse)
+    return near, sparse.top_k(sparse.sparse_scores(read(spark, sf_dir, "documents"), "doc_id", "text", asked(spark)), n_sparse)
 
 
 def cosine_topk_n(spark, sf_dir, n: int) -> DataFrame:
@@ -124,7 +126,7 @@ def hybrid_topk(spark, sf_dir):
 
 def rrf_fusion(spark, sf_dir):
     """The literature's constant of 60 over whole lists of 50."""
-    found = sparse.top_k(sparse.sparse_scores(postings(spark, sf_dir), asked(spark), classic=True), 50)
+    found = sparse.top_k(sparse.sparse_scores(read(spark, sf_dir, "documents"), "doc_id", "text", asked(spark), classic=True), 50)
     return _named(fusion.fuse([cosine_topk_n(spark, sf_dir, 50), found], 20, rrf_k=60))
 
 
@@ -154,9 +156,13 @@ def chats_as_chunks(spark, sf_dir) -> DataFrame:
     return turns.join(total, "conv_id").select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text", F.col("conv_id").cast("string").alias("source_document"), F.col("turn").cast("int").alias("chunk_index"), "chunk_total", F.col("turn").cast("int").alias("start_page"), F.col("turn").cast("int").alias("end_page"), F.col("role").alias("section"), F.lit(None).cast("string").alias("section_path"))
 
 
+def read_chats(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), "text")
+
+
 def _chat_hits(spark, sf_dir, k: int) -> tuple[DataFrame, DataFrame]:
     chunks = chats_as_chunks(spark, sf_dir)
-    best = sparse.top_k(sparse.sparse_scores(sparse.term_frequency(chunks, "chunk_id", "text"), asked(spark)), k)
+    best = sparse.top_k(sparse.sparse_scores(read_chats(spark, sf_dir), "chunk_id", "text", asked(spark)), k)
     return chunks.join(F.broadcast(best.select(F.col("id").alias("chunk_id"), "rank")), "chunk_id").select(*chunks.columns, "rank"), chunks
 
 
@@ -182,7 +188,7 @@ def delete_document(spark, sf_dir):
 
 def _rerank_hits(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    best = sparse.top_k(sparse.sparse_scores(postings(spark, sf_dir), asked(spark)), 20)
+    best = sparse.top_k(sparse.sparse_scores(read(spark, sf_dir, "documents"), "doc_id", "text", asked(spark)), 20)
     hits = docs.join(F.broadcast(best.select(F.col("id").alias("doc_id"), F.col("rank").alias("original_rank"))), "doc_id")
     return hits.select(F.lit(0).alias("query_id"), F.lit(QUERY).alias("query"), "doc_id", F.col("source").alias("source_document"), F.col("lang").alias("section_path"), F.lit("").alias("section"), "text", "original_rank")
 

@@ -162,12 +162,12 @@ def test_prefetch_and_fusion(spark):
 def test_sparse_stats_can_be_frozen(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, "!!"), (4, None)], "id bigint, text string")
     p = sparse.term_frequency(docs, "id", "text")
-    s = sparse.corpus_stats(p).first()
+    s = sparse.corpus_stats(docs, "id", "text").first()
     assert (s["n"], s["total_length"], s["average_length"], s["n_terms"]) == (2, 5, 2.5, 3)
-    assert sparse.corpus_stats(p.limit(0)).first()["average_length"] == 1.0
-    w = {(r["id"], r["term"]): r["weight"] for r in sparse.bm25_weights(p, sparse.document_frequency(p), sparse.corpus_stats(p)).collect()}
-    assert len(w) == 4
-    packed = sparse.packed(sparse.bm25_weights(p))
+    assert sparse.corpus_totals(docs.limit(0), "text").first()["average_length"] == 1.0
+    weights = sparse.bm25_weights(p, sparse.document_frequency(p), sparse.corpus_totals(docs, "text"))
+    assert weights.count() == 4
+    packed = sparse.packed(weights)
     assert [x["idx"] for x in packed.where("id = 1").first()["vector"]] == sorted(x["idx"] for x in packed.where("id = 1").first()["vector"])
     assert sparse.unpacked(packed).count() == 4
 

@@ -56,8 +56,8 @@ def test_json_and_stats(spark, tmp_path):
     assert spark.read.schema(files.CHUNKS).json(str(tmp_path / "j")).count() == 1
     (tmp_path / "one.json").write_text('[{"chunk_id": "x", "text": "t"}]')
     assert files.read_chunks(spark, str(tmp_path / "one.json"), "json").first()["chunk_id"] == "x"
-    p = sparse.term_frequency(spark.createDataFrame([(1, "a b")], "id int, text string"), "id", "text")
-    files.write_stats(sparse.document_frequency(p), sparse.corpus_stats(p), str(tmp_path / "st"))
+    docs = spark.createDataFrame([(1, "a b")], "id int, text string")
+    files.write_stats(sparse.document_frequency(sparse.term_frequency(docs, "id", "text")), sparse.corpus_totals(docs, "text"), str(tmp_path / "st"))
     df, st = files.read_stats(spark, str(tmp_path / "st"))
     assert df.count() == 2 and st.first()["n"] == 1
     for keys in (("total_documents", "total_document_length", "frequencies"), ("TotalDocuments", "TotalDocumentLength", "Frequencies")):
