@@ -171,7 +171,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     rows = pages.select(pages[id_col].alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     shared = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("owner")).where("n > 1")
-    shared = common.materialise(shared, "shared")  # a join of two plain shuffles can be split where a payload is hot
+    shared = common.materialise(shared, "shared", packed=True)  # a join of two plain shuffles can be split where a payload is hot
     both = rows.join(shared.select("digest", "owner"), "digest", "left")
     both = both.select("id", "url", "html", F.col("owner.id").alias("owner"), F.col("owner.url").alias("owner_url"))
 

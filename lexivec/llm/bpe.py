@@ -19,7 +19,7 @@ class LastTokenStates:
     """vocab: symbol string -> id; ranks: (left, right) -> merge rank. Ids lie below START."""
 
     #: Pairs remembered; beyond that the memory is emptied.
-    MOST_PAIRS = 500_000
+    MOST_PAIRS = 300_000
     #: Stands before the first token.
     START = 1 << 20
 

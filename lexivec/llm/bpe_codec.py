@@ -40,7 +40,7 @@ class WordCodec:
         self.marked = {c: chr(ord(c) + bpe.LAST) for c in self.symbols}
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.most = 250_000
+        self.most = 350_000
 
     def split(self, chunk: str) -> list[str]:
         """Its words in the byte-level alphabet, the last symbol of each marked."""

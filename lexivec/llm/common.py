@@ -25,20 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="lexivec-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+#: Tables written by this process that results may still read.
+_WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; call it once no result is needed any more."""
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
+
+
+def materialise(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, and survives the loss of any executor. packed: for narrow
+    tables that take little work to compute; adaptive execution then fills partitions up to its advisory size instead of
+    keeping every core busy, so that there are few files."""
+    spark, conf = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    path, before = scratch(spark, name), spark.conf.get(conf)
+    if packed:
+        spark.conf.set(conf, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(conf, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +64,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote and nothing reads any more."""
+    names = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    for path in [w for w in _WRITTEN if w.rsplit("/", 1)[1] in names]:
+        _WRITTEN.remove(path)
+        remove(df.sparkSession, path)
+
+
 def small_batches(spark: SparkSession) -> None:
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

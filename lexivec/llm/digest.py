@@ -70,7 +70,7 @@ def collisions(docs: DataFrame) -> frozenset[str]:
     """Digests that texts of different canonical bytes share: inside each bucket of two rows or more, the least and the
     greatest bytes are compared. Both sums are partial before the shuffle, so a hot bucket sends one text a task; texts
     that share no digest are sieved out where they are read."""
-    shared = common.materialise(_digests(docs).groupBy("digest", "low").agg(F.count("*").alias("n")).where("n > 1").select("digest", "low"), "shared")
+    shared = common.materialise(_digests(docs).groupBy("digest", "low").agg(F.count("*").alias("n")).where("n > 1").select("digest", "low"), "shared", packed=True)
     inside = _digests(docs, common.Sieve(shared, "low")).groupBy("digest").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
     found = [r["d"] for r in inside.select(F.lower(F.hex("digest")).alias("d")).limit(MOST_COLLISIONS + 1).collect()]
     if len(found) > MOST_COLLISIONS:

@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     stars around their smallest id, cutting lineage by a written table each round; a hub's edges meet in partial minima
     and skew-split joins."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = common.materialise(e, "edges")
+    e = common.materialise(e, "edges", packed=True)
     while not _stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionAll(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = common.materialise(small, "edges")
+        before, e = e, common.materialise(small, "edges", packed=True)
+        common.discard(before)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -55,15 +56,15 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Call
     all ids that have a link."""
     members = common.materialise(members, "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    sizes = common.materialise(sizes, "sizes")  # a join of two plain shuffles can be split where a bucket is hot
-    shared = common.materialise(members.join(sizes, "key"), "shared")
-    verify, resolve, weights = prepare(common.materialise(shared.select("id").distinct(), "ids"))
+    sizes = common.materialise(sizes, "sizes", packed=True)  # a join of two plain shuffles can be split where a bucket is hot
+    shared = common.materialise(members.join(sizes, "key"), "shared", packed=True)
+    verify, resolve, weights = prepare(common.materialise(shared.select("id").distinct(), "ids", packed=True))
     follow = shared.where("id <> leader")
     known = components(verify(follow.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
     placed = follow.where("n > 2").select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     of_key = placed.join(weights, "id").groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("content"))
     once = of_key.where("c1 <> c2").groupBy("n", "content").agg(F.min("key").alias("key"), F.min("bytes").alias("bytes"))
-    placed = common.materialise(placed.join(once.select("key", "bytes"), "key"), "open")
+    placed = common.materialise(placed.join(once.select("key", "bytes"), "key"), "open", packed=True)
     if placed.isEmpty():
         return known
     found = resolve(placed.where(F.col("bytes") <= BUCKET_BYTES).select("key", "id", "c"))
@@ -72,13 +73,13 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Call
     while not active.isEmpty():
         placed = active.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-        placed = common.materialise(placed.join(open_keys, "key"), "open")
+        placed = common.materialise(placed.join(open_keys, "key"), "open", packed=True)
         weight = placed.groupBy("key", "c").agg(F.count("*").alias("w"))
         lead = placed.join(weight, ["key", "c"]).groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("w", "id", "c")).alias("s"))
-        lead = common.materialise(lead.select("key", F.col("s.id").alias("leader"), F.col("s.c").alias("lc")), "leaders")
+        lead = common.materialise(lead.select("key", F.col("s.id").alias("leader"), F.col("s.c").alias("lc")), "leaders", packed=True)
         far = placed.join(lead, "key").where("c <> lc AND id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
         known = components(_and(verify(far.distinct()), known))
-        active = common.materialise(placed.join(lead.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "active")
+        active = common.materialise(placed.join(lead.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "active", packed=True)
     return known
 
 

@@ -235,8 +235,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     number = F.coalesce(F.col("id").cast("bigint"), F.lit((1 << 62))) if docs.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("id")
     classes = runs.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min(F.struct(number.alias("place"), "version", "low")).alias("at"))
     several = runs.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
-    classes = common.materialise(classes.join(several, "anchor"), "classes")
-    contested = common.materialise(classes.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1"), "contested")
+    classes = common.materialise(classes.join(several, "anchor"), "classes", packed=True)
+    contested = common.materialise(classes.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1"), "contested", packed=True)
     whole = _segments(docs, length, common.Sieve(contested, "anchor")).join(classes.join(contested, "anchor").select("anchor", "segment", "at.*", "segments"), ["anchor", "segment"])
     of_class = [F.min(c).alias(c) for c in ("place", "version", "low", "segments")]  # one value in a class
     whole = common.materialise(whole.groupBy("anchor", "segment").agg(F.first("whole").alias("whole"), *of_class), "segments")
@@ -247,7 +247,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     solved = common.materialise(solved, "solved")
     # a segment that occurs several times is matched as a whole, but for its first place if that is kept
     judged = classes.select("anchor", "segment", "n", "first").join(solved, ["anchor", "segment"], "left").where("n > 1 OR spans IS NOT NULL")
-    judged = common.materialise(judged, "judged")  # a join of two plain shuffles can be split where a segment is hot
+    judged = common.materialise(judged, "judged", packed=True)  # a join of two plain shuffles can be split where a segment is hot
     mine = runs.join(judged, ["anchor", "segment"])
     all_of_it = F.col("n") > 1 if keep == "none" else (F.col("n") > 1) & (place != F.col("first"))
     span = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
@@ -259,7 +259,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep: str = "none", with_bytes: bool = True) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, removed (array<struct<start, end>>, end
     exclusive) and kept (the remaining bytes)."""
-    spans = common.materialise(repeated_spans(df, id_col, text_col, length, keep), "spans")
+    spans = common.materialise(repeated_spans(df, id_col, text_col, length, keep), "spans", packed=True)
     docs = common.texts_of(df, id_col, text_col)
     kind = docs.schema["id"].dataType.simpleString()
     losers = common.Sieve(spans, "version")
