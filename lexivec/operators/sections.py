@@ -34,9 +34,10 @@ def reading_order() -> list[str]:
 def font_statistics(blocks: DataFrame, heading_color: str | None = None, max_font_size: float | None = None) -> DataFrame:
     """Per document: average, largest, smallest and body font size and the distinct heading sizes, largest first. The body
     size is the most frequent size to one decimal, of equals the one seen first; headings exceed 1.1 times the body."""
-    sized = blocks.select(DOC, "seq", "font_size", "color_key").withColumn("rounded", round1(F.col("font_size")))
-    real = sized.where("font_size > 0")
-    counts = real.groupBy(DOC, "rounded").agg(F.count("*").alias("n"), F.min("seq").alias("seen"), F.max(F.when(F.lit(heading_color).isNull() | (F.col("color_key") == F.lit(heading_color)), 1).otherwise(0)).alias("coloured"), F.sum("font_size").alias("s"), F.max("font_size").alias("hi"), F.min("font_size").alias("lo"))
+    raw = blocks.where("font_size > 0").groupBy(DOC, "font_size", "color_key").agg(F.count("*").alias("n"), F.min("seq").alias("seen"))
+    sized = raw.withColumn("rounded", round1(F.col("font_size")))  # a row a size of a document, not a word
+    own_color = F.lit(heading_color).isNull() | (F.col("color_key") == F.lit(heading_color))
+    counts = sized.groupBy(DOC, "rounded").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.max(F.when(own_color, 1).otherwise(0)).alias("coloured"), F.sum(F.col("n") * F.col("font_size")).alias("s"), F.max("font_size").alias("hi"), F.min("font_size").alias("lo"))
     body = F.max_by("rounded", F.struct(F.col("n"), -F.col("seen")))
     whole = counts.groupBy(DOC).agg((F.sum("s") / F.sum("n")).alias("average_size"), F.max("hi").alias("max_size"), F.min("lo").alias("min_size"), body.alias("body_size"), F.collect_list(F.struct("rounded", "coloured")).alias("_sizes"))
     fits = lambda x: (x["rounded"] > F.col("body_size") * 1.1) & (x["coloured"] == 1) & (F.lit(True) if max_font_size is None else x["rounded"] <= F.lit(max_font_size))
