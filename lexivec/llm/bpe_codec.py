@@ -40,7 +40,7 @@ class WordCodec:
         self.marked = {c: chr(ord(c) + bpe.LAST) for c in self.symbols}
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.most = 350_000
+        self.most, self.most_words = 250_000, 200_000
 
     def split(self, chunk: str) -> list[str]:
         """Its words in the byte-level alphabet, the last symbol of each marked."""
@@ -84,7 +84,7 @@ class WordCodec:
         if len(self.chunks) > self.most:  # what this batch needs stays, the rest is forgotten
             old, self.chunks = self.chunks, {}
             self.chunks = {c: old[c] for c in wanted if c in old}
-        if len(self.words) > self.most:
+        if len(self.words) > self.most_words:
             self.words = {}
         self.learn(wanted - self.chunks.keys())
         known = self.chunks.__getitem__

@@ -269,7 +269,7 @@ def score(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = bpe.Memory(model.word)
+        known = bpe.Memory(model.word, 100_000)
         for batch in common.slices(batches):
             texts = batch.column("text").to_pylist()
             split = [t.split() for t in texts]
@@ -301,7 +301,7 @@ def keep_clean(documents: DataFrame, field: Field, text_col: str = "text", least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = bpe.Memory(model.word)
+        known = bpe.Memory(model.word, 100_000)
         for batch in common.slices(batches, text_col):
             split = [(t or "").split() for t in batch.column(text_col).to_pylist()]
             counts = np.array([len(w) for w in split])
