@@ -46,7 +46,7 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), bits=None)
 
 
 def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
