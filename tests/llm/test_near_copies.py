@@ -174,6 +174,13 @@ def test_edit_similarity_alone_decides(spark, tmp_path):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - got
 
 
+@pytest.mark.parametrize("bits", [line_dedup.BITS, None])
+def test_equal_short_lines_go(spark, bits):
+    rows = [(1, "Menu\n\nfirst of the texts here"), (2, "another text altogether\nmenu \n\nmend"), (3, "你好世界\nMENU"), (4, "你好世界")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), bits=bits).collect()
+    assert {r["doc_id"]: list(r["removed"]) for r in got} == {1: [], 2: [1], 3: [1], 4: [0]}
+
+
 def test_segments_miss_no_short_line():
     r = random.Random(5)
     for _ in range(3000):
