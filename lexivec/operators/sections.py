@@ -173,11 +173,12 @@ def simple_sections(pages: DataFrame, skip_pages: int = 0) -> DataFrame:
 
 def outline_paths(bookmarks: DataFrame, max_depth: int | None = None, skip_pages: int = 0) -> DataFrame:
     """Outline rows (source_document, seq, title, level, page_number) with full_title: the titles of the nearest former rows
-    of each lower level and its own, joined by " > ". Empty titles go; a missing page is 1."""
+    of each lower level and its own, joined by " > ". Empty titles go; a missing page is 1.
+    Without max_depth all levels stay: the deepest is looked up first, by a small job."""
     rows = bookmarks.where(~is_blank(F.col("title"))).withColumns({"title": strip(F.col("title")), "page_number": F.coalesce("page_number", F.lit(1))})
     order = W.partitionBy(DOC).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     # of each level the last title so far and where it stood; a shallower row in between ends it
-    most = max_depth or 9
+    most = max_depth or rows.agg(F.max("level")).first()[0] or 1
     for k in range(1, most + 1):
         rows = rows.withColumn(f"_{k}", F.last(F.when(F.col("level") == k, F.struct("seq", "title")), ignorenulls=True).over(order))
     parts = [F.when((F.col("level") >= k) & (F.lit(True) if k == 1 else F.greatest(*[F.coalesce(F.col(f"_{j}.seq"), F.lit(-1)) for j in range(1, k)], F.lit(-1)) < F.col(f"_{k}.seq")), F.col(f"_{k}.title")) for k in range(1, most + 1)]

@@ -121,6 +121,13 @@ def test_heading_search():
     assert sections.heading_end("Great  Wall of", "great wall", 0) == 12
 
 
+def test_outlines_deeper_than_nine(spark):
+    marks = spark.createDataFrame([("d", k, f"t{k}", k, 1) for k in range(1, 13)], "source_document string, seq int, title string, level int, page_number int")
+    paths = {r["title"]: r["full_title"] for r in sections.outline_paths(marks).collect()}
+    assert len(paths) == 12 and paths["t12"] == " > ".join(f"t{k}" for k in range(1, 13))
+    assert sections.outline_paths(marks, 3).count() == 3 and sections.outline_paths(marks.limit(0)).count() == 0
+
+
 def test_simple_sections(spark):
     pages = spark.createDataFrame([("d", 1, "skip"), ("d", 2, " b "), ("d", 3, "  "), ("e", 1, " ")], "source_document string, page_number int, text string")
     got = sections.simple_sections(pages, 1).collect()
