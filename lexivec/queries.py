@@ -176,6 +176,13 @@ def fetch_by_indices(spark, sf_dir):
     return adjacency.fetch_many(chats_as_chunks(spark, sf_dir), keys).select("source_document", "chunk_index", F.sha1("text").alias("text_sha1"))
 
 
+def fetch_neighbours(spark, sf_dir):
+    """By keys from a whole table: the indices beside each user's turn, in every conversation."""
+    asked = read(spark, sf_dir, "conversations").where("role = 'user'")
+    keys = asked.select(F.col("conv_id").cast("string").alias("source_document"), F.lit(None).cast("string").alias("section_path"), F.explode(F.array((F.col("turn") - 1).cast("int"), (F.col("turn") + 1).cast("int"))).alias("chunk_index"))
+    return adjacency.fetch_many(chats_as_chunks(spark, sf_dir), keys).select("source_document", "chunk_index", F.sha1("text").alias("text_sha1"))
+
+
 def upsert_latest(spark, sf_dir):
     old = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     new = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
@@ -282,7 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_counts, term_frequency, document_frequency, corpus_stats, bm25_weights, bm25_topk, bm25_classic_topk, bm25_batch_topk, cosine_topk, cosine_batch_topk, l2_normalize_norms, centroid_by_label,
-        tf_sparse_weights, idf_query_topk, prefetch_topk, rrf_fusion, hybrid_topk, fixed_stride_chunks, chunk_ids, embedding_text, greedy_chunks, adjacent_expand, fetch_by_indices, upsert_latest, delete_document,
+        tf_sparse_weights, idf_query_topk, prefetch_topk, rrf_fusion, hybrid_topk, fixed_stride_chunks, chunk_ids, embedding_text, greedy_chunks, adjacent_expand, fetch_by_indices, fetch_neighbours, upsert_latest, delete_document,
         rerank_scores_topk, rerank_min_relevance, llm_score_parse, context_string, html_heading_sections, font_statistics, line_breaks, format_sections, term_hashes, hashed_vectors, rag_search, best_turn_rank,
     )
 }
@@ -389,6 +396,7 @@ SELECT id AS doc_id, i::BIGINT AS chunk_index, total AS chunk_total, len(t[i * 1
     "embedding_text": "SELECT doc_id, sha1(t) AS text_sha1, length(t)::BIGINT AS n_chars FROM (SELECT doc_id, 'Document: ' || source || chr(10) || 'Section: ' || CASE WHEN lang = 'en' THEN 'body' ELSE lang END || chr(10) || chr(10) || text AS t FROM documents)",
     "adjacent_expand": f"{_chat_best(20)} SELECT source_document, chunk_index, is_hit, rank FROM w",
     "fetch_by_indices": "SELECT conv_id::VARCHAR AS source_document, turn::INTEGER AS chunk_index, sha1(text) AS text_sha1 FROM conversations WHERE conv_id BETWEEN 0 AND 29 AND turn IN (0, 2)",
+    "fetch_neighbours": "SELECT conv_id::VARCHAR AS source_document, turn::INTEGER AS chunk_index, sha1(text) AS text_sha1 FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user' AND u.conv_id = c.conv_id AND abs(u.turn - c.turn) = 1)",
     "upsert_latest": "SELECT chunk_id, sha1(text) AS text_sha1 FROM (SELECT item_id AS chunk_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark))",
     "delete_document": "SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src0'",
     "rerank_scores_topk": f"{_RERANK} SELECT doc_id, relevance_score, original_rank, row_number() OVER (ORDER BY relevance_score DESC, original_rank)::INTEGER AS new_rank FROM y QUALIFY new_rank <= 5",
