@@ -3,9 +3,10 @@
 A bucket holds rows that might be linked. Only connectivity matters, so a bucket is done once its rows are in one
 component. First every row of a bucket is tested against the bucket's smallest id: groups of copies close with one pair a
 row. Buckets that still hold several components (each set of rows once, though many keys hold it) are then resolved where
-their rows meet, while they are under BUCKET_BYTES: rows outside the largest component are compared with those of other
-components, and only what joins two components is emitted. A larger open bucket goes on in rounds: a few leaders are tested
-against its rows in other components and leave it. The result has the components that testing all pairs would give.
+their rows meet: rows outside the largest component are compared with those of other components, and only what joins two
+components is emitted. An open bucket over BUCKET_BYTES is cut into blocks of half that weight, and any two blocks meet in a
+tile of their own, so that tasks stay bounded and the number of jobs does not depend on the bucket. The result has the
+components that testing all pairs would give.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from pyspark.sql import functions as F
 
 from lexivec.llm import common
 
-#: What the rows of an open bucket may weigh to be resolved in one task.
+#: What the rows of an open bucket may weigh to be resolved in one task; a larger one is cut into tiles of about that weight.
 BUCKET_BYTES = 48 << 20
-#: Leaders of a larger open bucket in a round.
-LEADERS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -67,20 +66,16 @@ def link(members: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Call
     placed = common.materialise(placed.join(once.select("key", "bytes"), "key"), "open", packed=True)
     if placed.isEmpty():
         return known
-    found = resolve(placed.where(F.col("bytes") <= BUCKET_BYTES).select("key", "id", "c"))
-    known = components(_and(found, known))
-    active = placed.where(F.col("bytes") > BUCKET_BYTES).select("key", "id")
-    while not active.isEmpty():
-        placed = active.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-        placed = common.materialise(placed.join(open_keys, "key"), "open", packed=True)
-        weight = placed.groupBy("key", "c").agg(F.count("*").alias("w"))
-        lead = placed.join(weight, ["key", "c"]).groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("w", "id", "c")).alias("s"))
-        lead = common.materialise(lead.select("key", F.col("s.id").alias("leader"), F.col("s.c").alias("lc")), "leaders", packed=True)
-        far = placed.join(lead, "key").where("c <> lc AND id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
-        known = components(_and(verify(far.distinct()), known))
-        active = common.materialise(placed.join(lead.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti").select("key", "id"), "active", packed=True)
-    return known
+    return components(_and(resolve(_tiles(placed)), known))
+
+
+def _tiles(placed: DataFrame) -> DataFrame:
+    """(key, id, c): each bucket, or of a heavy one each two blocks of it, under a key."""
+    blocks = F.when(F.col("bytes") <= BUCKET_BYTES, 1).otherwise(F.ceil(2 * F.col("bytes") / BUCKET_BYTES)).cast("int")
+    placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    heavy = placed.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return placed.where("blocks = 1").select("key", "id", "c").unionAll(heavy.select(tile.alias("key"), "id", "c"))
 
 
 def _and(edges: DataFrame, known: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexivec.llm import line_dedup, linking, minhash
 
@@ -60,11 +62,11 @@ def loose(n=150):
     return [(k, edited(r, a, r.randint(1, 5))) for k in range(n)]
 
 
-@pytest.mark.parametrize("limit", [linking.BUCKET_BYTES, 0])
+@pytest.mark.parametrize("limit", [linking.BUCKET_BYTES, 100_000])
 def test_loose_group(spark, monkeypatch, limit):
-    """Both where rows of an open bucket meet in a task, and in rounds of leaders."""
+    """Both where rows of an open bucket meet in a task, and in tiles of two blocks."""
     monkeypatch.setattr(linking, "BUCKET_BYTES", limit)
-    rows = loose(150 if limit else 60)
+    rows = loose()
     wanted = brute(rows, 85)
     assert len(set(wanted.values())) > 3
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=85)
@@ -90,6 +92,30 @@ def test_components(spark):
     assert got == {x: c for x, c in wanted.items() if any(x in p and p[0] != p[1] for p in pairs)}
 
 
+def test_a_bucket_of_unlinked_rows_is_resolved_in_tiles(spark, monkeypatch):
+    """10,000 rows under one key, of which two far apart and a few neighbours are linked."""
+    monkeypatch.setattr(linking, "BUCKET_BYTES", 400_000)
+    n, links = 10_000, {(17, 9_000), (40, 41), (41, 9_999)}
+    meetings = []
+
+    def prepare(ids):
+        def solve(rows):
+            own = rows.column("id").to_numpy()
+            at = {int(x): k for k, x in enumerate(own)}
+            pairs = linking.join_components(rows.column("c").to_numpy(), lambda i, others: np.array([at[b] for a, b in links | {(b, a) for a, b in links} if a == own[i] and b in at], np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(own[[p[k] for p in pairs]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        def resolve(placed):
+            meetings.append([r["n"] for r in placed.groupBy("key").agg(F.count("*").alias("n")).collect()])
+            return placed.repartition(4, "key").sortWithinPartitions("key").mapInArrow(linking.by_key(solve), "a bigint, b bigint")
+
+        return lambda pairs: pairs.where("a < 0"), resolve, ids.select("id", F.lit(100).alias("bytes"))
+
+    found = linking.link(spark.range(n).select(F.lit(1).cast("bigint").alias("key"), "id"), prepare)
+    assert {r["id"]: r["component"] for r in found.collect()} == {17: 17, 9_000: 17, 40: 40, 41: 40, 9_999: 40}
+    assert len(meetings) == 1 and max(meetings[0]) < 5_000
+
+
 def brute_lines(rows, similarity, least):
     where = defaultdict(list)
     for i, t in rows:
