@@ -1,8 +1,10 @@
-"""What a session needs so that its Python workers can import this package."""
+"""What a session needs: Python workers that can import this package, and a folder that all machines share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,3 +19,20 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, known) if p)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs on this machine
+    (tests), a fresh local one; executors elsewhere would not see that, so there it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="lexivec-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
