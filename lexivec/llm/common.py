@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec import session
 from lexivec.session import importable
 
 #: Rows in an Arrow batch handed to Python; long texts make a batch large, so it stays small.
@@ -19,21 +18,12 @@ BATCH_ROWS = 512
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a fresh local folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lexivec-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 #: Tables written by this process that results may still read.
 _WRITTEN: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    _WRITTEN.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path := session.scratch(spark, name))
     return path
 
 
@@ -43,6 +33,16 @@ def sweep(spark: SparkSession) -> None:
         remove(spark, _WRITTEN.pop())
 
 
+def settle(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What build() returns as a table of its own; the tables that build() wrote on the way, and its result read, go."""
+    before = set(_WRITTEN)
+    done = materialise(build(), name)
+    for path in [w for w in _WRITTEN[:-1] if w not in before]:
+        _WRITTEN.remove(path)
+        remove(spark, path)
+    return done
+
+
 def materialise(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of any executor. packed: for narrow
     tables that take little work to compute; adaptive execution then fills partitions up to its advisory size instead of
@@ -97,6 +97,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def merged(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many rows, for narrow rows that come in small ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def byte_lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
