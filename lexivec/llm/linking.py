@@ -106,18 +106,20 @@ def by_key(solve: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa
     return run
 
 
-def join_components(component: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def join_components(component: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray], sure: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links that join the components of rows: each row outside the largest one is tested, by linked(row, others), against
-    the rows that are not in its component as yet."""
+    the rows that are not in its component as yet. With sure(row, other) what linked() gives are only likely links, which are
+    confirmed one by one, while they would still join something."""
     label = np.unique(component, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
-    largest = int(np.bincount(label).argmax())
-    for i in np.flatnonzero(label != largest).tolist():
-        others = np.flatnonzero(label != label[i])
-        if not len(others):
-            break
+    later = label == np.bincount(label).argmax()  # rows that are still to be compared: the largest component's always
+    turns = np.flatnonzero(~later).tolist()
+    later[turns] = True
+    for i in turns:
+        later[i] = False  # the row meets all that follow now, so they need not meet it
+        others = np.flatnonzero(later & (label != label[i]))
         for j in linked(i, others).tolist():
-            if label[i] != label[j]:
+            if label[i] != label[j] and (sure is None or sure(i, j)):
                 label[label == label[j]] = label[i]
                 out.append((i, j))
     return out
