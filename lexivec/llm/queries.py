@@ -56,11 +56,11 @@ def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "warc")
     archives.write_pages(read(spark, sf_dir, "pages"), path)
-    return archives.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archives.read_warc(spark, path, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400, keep="none", with_bytes=False)
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400, keep="none", with_bytes=False, shared=300)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import zlib
 
@@ -92,3 +93,51 @@ def test_arc_lines_and_lengths():
         list(archives.parse_arc(data.replace(b"2 0 lexivec", b"9 0 lexivec")))
     with pytest.raises(ValueError, match="cut short"):
         list(archives.parse_warc(archives.to_warc(a) + b"\r\n"))
+
+
+def members(path, parts):
+    """One gzip member a part, as archives usually are."""
+    path.parent.mkdir(exist_ok=True)
+    path.write_bytes(b"".join(gzip.compress(p) for p in parts))
+
+
+def test_archives_of_others_are_read(spark, tmp_path):
+    """Many members, other header cases, records without digests, and a revisit of a record in another file."""
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n\xff\xfe" + b"x" * 3_000_000
+    record = lambda kind, n, block, more="": f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:{n}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nCONTENT-LENGTH:{len(block)}\r\n{more}\r\n".encode() + block + b"\r\n\r\n"
+    http = "Content-Type: application/http;\r\n msgtype=response\r\n"
+    members(tmp_path / "w/a.warc.gz", [record("warcinfo", 1, b"software: x\r\n"), record("response", 2, body, http + "X-Page-Id: 9\r\nWARC-Payload-Digest: sha1:WRONG\r\n"), record("metadata", 3, b"")])
+    members(tmp_path / "w/b.warc.gz", [record("revisit", 4, b"", "WARC-Refers-To: <urn:2>\r\n"), record("revisit", 5, b"", "WARC-Refers-To: <urn:none>\r\n")])
+    (tmp_path / "w/c.warc").write_bytes(record("resource", 6, b"plain", "WARC-Target-URI: u\r\n"))
+    got = {r["record_id"]: r for r in archives.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert {k: (r["record_type"], r["payload_bytes"], r["refers_to"], r["verified"]) for k, r in got.items()} == {
+        "<urn:1>": ("warcinfo", 13, None, None), "<urn:2>": ("response", 3_000_002, None, False), "<urn:3>": ("metadata", 0, None, None),
+        "<urn:4>": ("revisit", 3_000_002, 9, None), "<urn:5>": ("revisit", None, None, None), "<urn:6>": ("resource", 5, None, None)}
+    assert got["<urn:6>"]["payload_digest"] == archives.sha1(b"plain") and got["<urn:5>"]["payload_digest"] is None
+    with pytest.raises(Exception, match="does not have its digest"):
+        archives.read_warc(spark, str(tmp_path / "w"), strict=True).collect()
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_files_are_converted(spark, tmp_path, monkeypatch, version):
+    monkeypatch.setattr(archives, "FILE_BYTES", 1000)
+    records = [(f"http://h/{k}", archives.http_message(bytes([k, 255, 13, 10, 13, 10]) * (200 * k), "image/png")) for k in range(5)] + [("dns:h", b"1.2.3.4")]
+    data = archives.write_arc(records, version)
+    cuts = [0, *(data.index(u.encode()) for u, _ in records), len(data)]
+    members(tmp_path / "a/x.arc.gz", [data[i:j] for i, j in zip(cuts, cuts[1:])])
+    (tmp_path / "a/y.arc").write_bytes(archives.write_arc([("http://y", b"HTTP/1.0 404 No\r\n\r\n")], 3 - version))
+    got = {(r["url"], bytes(r["content"])) for r in archives.read_arc(spark, str(tmp_path / "a")).collect()}
+    assert got == {*records, ("http://y", b"HTTP/1.0 404 No\r\n\r\n")}
+    archives.convert(spark, str(tmp_path / "a"), str(tmp_path / "w"))
+    found = archives.read_warc(spark, str(tmp_path / "w")).collect()
+    payloads = {u: c.partition(b"\r\n\r\n")[2] if c.startswith(b"HTTP/") else c for u, c in got}
+    assert {r["url"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in found} == {u: (len(p), archives.sha1(p), "resource" if u == "dns:h" else "response") for u, p in payloads.items()}
+    assert len({r["record_id"] for r in found}) == 7 and all(r["verified"] for r in found) and len(list((tmp_path / "w").glob("part-*"))) > 3
+
+
+@pytest.mark.parametrize("tail", [b"", b"\0\0"])
+def test_pieces(tail):
+    parts = [bytes([k]) * n for k, n in enumerate((0, 1, 3_000_000, 7, 1_048_576))]
+    assert b"".join(archives.pieces(b"".join(gzip.compress(p) for p in parts) + tail)) == b"".join(parts)
+    with pytest.raises(ValueError, match="cut short"):
+        list(archives.pieces(gzip.compress(parts[2])[:-9]))
