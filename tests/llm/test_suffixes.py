@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -6,6 +7,8 @@ import pytest
 
 from lexivec.llm import suffix
 
+from .conftest import base_text
+
 
 def brute(rows, length, keep):
     texts = [(i, (t or "").encode()) for i, t in rows]
@@ -68,3 +71,25 @@ def test_suffix_order_and_factors():
         left = [j for j in range(k) if block[j] == block[k] and position[j] < position[k]]
         right = [j for j in range(k + 1, 300) if block[j] == block[k] and position[j] < position[k]]
         assert before[k] == (left[-1] if left else -1) and after[k] == (right[0] if right else -1)
+
+
+@pytest.mark.parametrize("most", [suffix.MOST, 1])
+@pytest.mark.parametrize("shared", [20, 300, 400])
+def test_shared_passages_show_and_stay(spark, docs, rows, monkeypatch, shared, most):
+    monkeypatch.setattr(suffix, "MOST", most)
+    both = suffix.remove_repeats(docs, length=400, shared=shared).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in both) == brute(rows, 400, "none")
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_shared"]) for r in both) == [(i, n, gone) for i, n, gone, *_ in brute(rows, shared, "none")]
+
+
+def test_planted_passages(spark):
+    """Passages of 51 to 119 words, many too short to be removed, in documents that share nothing else."""
+    r = random.Random(8)
+    passages = [base_text(r, r.randint(51, 119)) for _ in range(12)]
+    texts = {k: base_text(r, r.randint(60, 150)) for k in range(80)}
+    planted = {k: passages[k // 2] for k in range(24)}
+    rows = [(k, f"{t} {planted[k]} end" if k in planted else t) for k, t in texts.items()]
+    got = {x["doc_id"]: x for x in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length=400, shared=200).collect()}
+    assert {k for k, x in got.items() if x["n_shared"]} == set(planted)
+    removed = {k for k, x in got.items() if x["n_removed"]}
+    assert {str(k) for k in removed} == {i for i, _, gone, *_ in brute(rows, 400, "none") if gone} and 0 < len(removed) < len(planted)
