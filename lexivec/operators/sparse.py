@@ -70,15 +70,21 @@ def unpacked(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.inline("vector")).withColumnRenamed("idx", "term").withColumnRenamed("val", "weight")
 
 
-def sparse_scores(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, mode: str = "bm25", classic: bool = False, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(query_id, id, score) of all rows that share a term with a query (query_id, query): an inverted-index join on terms.
-    mode "bm25": BM25 on both sides; "idf": TF weights on both sides and the idf once. Tokens that no query has are dropped
-    before anything is counted or shuffled; the lengths of all texts come from one more scan. stats: (df, totals)."""
-    asked = term_frequency(queries, "query_id", "query").withColumnRenamed("id", "query_id")
-    wanted = asked.select("term").distinct()
-    hits = _exploded(docs, id_col, text_col).join(wanted, "term", "left_semi")
-    postings = hits.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    df, totals = stats or (document_frequency(postings), corpus_totals(docs, text_col))
+#: A document's own row among its postings is under one of so many marks, which no token can be.
+MARKS = 1024
+
+
+def _postings_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(id, term, tf, length): the postings of the wanted terms, and of every document with tokens a row under a mark. All
+    that scores need comes from this one scan; tokens that nobody wants are dropped before anything is shuffled."""
+    found = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_t")).select("id", "_t", F.size("_t").cast("bigint").alias("length"))
+    mark = F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("string"))
+    rows = found.where("length > 0").select("id", "length", F.explode(F.array_append("_t", mark)).alias("term"))
+    kept = rows.join(wanted.select("term", F.lit(True).alias("_w")), "term", "left").where(F.col("_w") | F.startswith("term", F.lit("\0")))
+    return kept.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+
+
+def _scored(postings: DataFrame, asked: DataFrame, df: DataFrame, totals: DataFrame, mode: str, classic: bool) -> DataFrame:
     rarity = idf(F.col("df"), F.col("n"))
     average: Column | float = F.col("average_length") if mode == "bm25" else FIXED_LENGTH
     own = term_weight(F.col("tf"), F.col("length"), average)
@@ -88,6 +94,40 @@ def sparse_scores(docs: DataFrame, id_col: str, text_col: str, queries: DataFram
     return ours.join(theirs, "term").groupBy("query_id", "id").agg(F.sum(F.col("wd") * F.col("wq")).alias("score"))
 
 
+def sparse_scores(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, mode: str = "bm25", classic: bool = False, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query_id, id, score) of all rows that share a term with a query (query_id, query): an inverted-index join on terms.
+    mode "bm25": BM25 on both sides; "idf": TF weights on both sides and the idf once. stats: (df, totals)."""
+    asked = term_frequency(queries, "query_id", "query").withColumnRenamed("id", "query_id")
+    found = _postings_of(docs, id_col, text_col, asked.select("term").distinct())
+    # the conditions name tf, so that none moves below the shuffle and the branches read the same one
+    marked = F.startswith("term", F.lit("\0"))
+    postings = found.where(F.when(F.col("tf") > 0, ~marked))
+    one = found.where(F.when(F.col("tf") > 0, marked)).agg(F.count_if(F.col("tf") > 0).alias("n"), F.sum(F.when(F.col("tf") > 0, F.col("length"))).alias("total"))
+    totals = one.select("n", F.when(F.col("n") > 0, F.try_divide(F.col("total").cast("double"), F.col("n"))).otherwise(1.0).alias("average_length"))
+    df, totals = stats or (postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")), totals)
+    return _scored(postings, asked, df, totals, mode, classic)
+
+
+def with_counts(docs: DataFrame, text_col: str, out: str = "sparse") -> DataFrame:
+    """With a column of term counts, array<struct<idx, tf>> by ascending CRC-32: a sparse vector before any statistics."""
+    sorted_ = docs.withColumn("_h", F.array_sort(F.transform(tokens(F.col(text_col)), term_hash)))
+    fresh = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda k: (k == 0) | (F.get("_h", k) != F.get("_h", k - 1)))
+    first = sorted_.withColumn("_f", F.when(F.size("_h") > 0, fresh).otherwise(F.array().cast("array<int>")))
+    count = F.transform("_f", lambda at, k: F.struct(F.get("_h", at).alias("idx"), (F.coalesce(F.get("_f", k + 1), F.size("_h")) - at).cast("bigint").alias("tf")))
+    return first.withColumn(out, count).drop("_h", "_f")
+
+
+def counted_scores(counts: DataFrame, queries: DataFrame, mode: str = "bm25", classic: bool = False, stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """sparse_scores over stored counts (id, sparse), in which colliding terms are one."""
+    asked = term_frequency(queries, "query_id", "query", hash_terms=True).withColumnRenamed("id", "query_id")
+    sized = counts.select("id", "sparse", F.aggregate("sparse", F.lit(0).cast("bigint"), lambda n, x: n + x["tf"]).alias("length"))
+    postings = sized.select("id", "length", F.inline("sparse")).withColumnRenamed("idx", "term").join(asked.select("term").distinct(), "term", "left_semi")
+    one = sized.agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("total"))
+    totals = one.select("n", F.when(F.col("n") > 0, F.try_divide(F.col("total").cast("double"), F.col("n"))).otherwise(1.0).alias("average_length"))
+    df, totals = stats or (document_frequency(postings), totals)
+    return _scored(postings, asked, df, totals, mode, classic)
+
+
 def top_k(scores: DataFrame, k: int, id_col: str = "id", digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank from 1): scores rounded, ties by id. The window keeps k rows a query in each task before
     the shuffle (WindowGroupLimit)."""

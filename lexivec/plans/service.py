@@ -14,7 +14,7 @@ from lexivec.operators.adjacency import expand
 from lexivec.operators.chunking import Chunker, chunk_sections, embedding_text
 from lexivec.operators.dense import cosine_batch_top_k, embed, hashed_embedding
 from lexivec.operators.fusion import fuse, prefetch_sizes
-from lexivec.operators.sparse import sparse_scores, top_k
+from lexivec.operators.sparse import counted_scores, top_k
 from lexivec.sources.store import ChunkStore
 
 
@@ -41,13 +41,14 @@ class RagService:
     embedder: Callable[[pd.Series], pd.Series] = field(default_factory=hashed_embedding)
     scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None
 
-    def index_sections(self, sections: DataFrame) -> int:
-        """Sections to chunks to vectors to the store; the number of chunks."""
+    def index_sections(self, sections: DataFrame, replace: bool = False) -> int:
+        """Sections to chunks to vectors to the store; the number of chunks that the documents then have. Older chunks of a
+        document that the new ones do not name stay, unless replace is set."""
         chunks = chunk_sections(sections, Chunker(self.settings.max_chunk_tokens, self.settings.chunk_overlap_tokens))
         text = embedding_text(F.col("source_document"), F.col("section_path"), F.col("section"), F.col("text"))
         vectors = embed(chunks.withColumn("_e", text), "_e", self.embedder).drop("_e")
         names = vectors.select("source_document").distinct()
-        self.store.upsert(vectors)
+        self.store.upsert(vectors, replace_documents=replace)
         return self.store.read().join(names, "source_document", "left_semi").count()
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
@@ -58,7 +59,7 @@ class RagService:
         dense = lambda n: cosine_batch_top_k(chunks, vectors, n, "chunk_id").withColumnRenamed("chunk_id", "id")
         if s.mode == "dense":
             return dense(k).withColumnRenamed("id", "chunk_id")
-        found = top_k(sparse_scores(chunks, "chunk_id", "text", queries, "idf" if s.mode == "hybrid_idf" else "bm25"), k if s.mode == "sparse" else n_sparse)
+        found = top_k(counted_scores(self.store.counts(), queries, "idf" if s.mode == "hybrid_idf" else "bm25"), k if s.mode == "sparse" else n_sparse)
         return (found if s.mode == "sparse" else fuse([dense(n_dense), found], k, s.rrf_k)).withColumnRenamed("id", "chunk_id")
 
     def search(self, query: str, k: int = 5) -> DataFrame:

@@ -41,6 +41,59 @@ def test_store(spark, tmp_path):
     assert len(s.versions()) == 1
 
 
+def test_no_write_is_lost(spark, tmp_path, monkeypatch):
+    """A writer that reads, and another that commits before the first does."""
+    a, b = store.ChunkStore(spark, str(tmp_path / "s")), store.ChunkStore(spark, str(tmp_path / "s"))
+    a.upsert(chunks(spark, [("x", "1", "d", 0, None)]))
+    write, done = a._write, []
+
+    def slow(df, manifest):
+        found = write(df, manifest)
+        if not done:
+            done.append(b.upsert(chunks(spark, [("y", "2", "d", 1, None)])))
+        return found
+
+    monkeypatch.setattr(a, "_write", slow)
+    a.upsert(chunks(spark, [("z", "3", "d", 2, None)]))
+    assert ids(a.read()) == [("x", "1"), ("y", "2"), ("z", "3")] and a.versions() == [1, 2, 3]
+    (tmp_path / "s" / "_versions" / f"{4:020d}").touch()  # a writer that died while it committed
+    assert ids(a.read()) == [("x", "1"), ("y", "2"), ("z", "3")]
+    monkeypatch.setattr(store, "TRIES", 2)
+    with pytest.raises(store.Conflict, match="has died"):
+        a.clear()
+
+
+def test_changes_rewrite_the_buckets_they_touch(spark, tmp_path):
+    s = store.ChunkStore(spark, str(tmp_path / "s"), buckets=16)
+    s.append(chunks(spark, [(f"{d}{k}", "t", d, k, None) for d in "abcdefgh" for k in range(3)]))
+    before = s._current()["files"]
+    s.upsert(chunks(spark, [("a0", "new", "a", 0, None)]))
+    after = s._current()["files"]
+    assert len(before) > 3 and sum(before[b] != after[b] for b in before) == 1
+    assert dict(ids(s.read()))["a0"] == "new" and s.read().count() == 24
+    s.upsert(chunks(spark, [("a1", "moved", "h", 9, None)]))  # the id stood under another document
+    assert [(r["source_document"], r["text"]) for r in s.read().where("chunk_id = 'a1'").collect()] == [("h", "moved")]
+    s.upsert(chunks(spark, [("b7", "only", "b", 0, None)]), replace_documents=True)
+    assert ids(s.document("b")) == [("b7", "only")] and s.read().count() == 22
+    s.append(chunks(spark, [("b8", "more", "b", 1, None)]))
+    s.compact()
+    assert ids(s.document("b")) == [("b7", "only"), ("b8", "more")] and all(len(f) == 1 for f in s._current()["files"].values())
+    s.vacuum()
+    assert s.read().count() == 23 and len(s.versions()) == 1
+
+
+def test_stored_counts_score_like_texts(spark, tmp_path):
+    rows = [("a", "x x y", "d", 0, None), ("b", "", "d", 1, None), ("c", None, "d", 2, None), ("e", "y z z z", "f", 0, None)]
+    s = store.ChunkStore(spark, str(tmp_path / "s"))
+    s.append(chunks(spark, rows))
+    counts = {r["id"]: sorted(x["tf"] for x in r["sparse"]) for r in s.counts().collect()}
+    assert counts == {"a": [1, 2], "b": [], "c": [], "e": [1, 3]}
+    asked = spark.createDataFrame([(0, "y x"), (1, "z none")], "query_id int, query string")
+    for mode, classic in (("bm25", False), ("bm25", True), ("idf", False)):
+        found = [sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in df.collect()) for df in (sparse.counted_scores(s.counts(), asked, mode, classic), sparse.sparse_scores(chunks(spark, rows), "chunk_id", "text", asked, mode, classic))]
+        assert found[0] == found[1] and len(found[0]) == 3
+
+
 def test_payload_round_trip(spark):
     c = chunks(spark, [("a", "t", "d", 1, [1.0, 2.0]), ("b", "u", "d", 2, None)]).withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
     points = store.to_payload(c)
