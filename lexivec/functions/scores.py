@@ -30,8 +30,11 @@ def rrf(rank: Column, k: float = RRF_K) -> Column:
 
 def parsed_scores(reply: Column, n: Column) -> Column:
     """The n scores of a model's reply, by position: a JSON array of exactly n items, each item's score as a number from 0
-    to 10, 5.0 where an item has none; a reply of any other form gives 5.0 throughout."""
+    to 10, 5.0 where an item has none or is no object. A reply of any other form, or with a score that is no number, gives
+    5.0 throughout."""
     items = F.from_json(without_fence(reply), "array<string>")
     number = lambda x: F.get_json_object(x, "$.score").try_cast("double")
+    wrong = F.exists(items, lambda x: F.coalesce(F.array_contains(F.json_object_keys(x), "score"), F.lit(False)) & number(x).isNull())
     scores = F.transform(items, lambda x: F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.coalesce(number(x), F.lit(5.0)))))
-    return F.when(F.coalesce(F.size(items), F.lit(-1)) == n, scores).otherwise(F.array_repeat(F.lit(5.0), n))
+    good = (F.coalesce(F.size(items), F.lit(-1)) == n) & ~F.coalesce(wrong, F.lit(False))
+    return F.when(good, scores).otherwise(F.array_repeat(F.lit(5.0), n))

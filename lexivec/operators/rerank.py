@@ -39,7 +39,7 @@ def cross_encoder(hits: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.S
     A query for which the model did not score every hit keeps the order given, from 5.0 down by 0.1."""
     scored = score_pairs(hits, scorer)
     whole = F.count("model_score").over(W.partitionBy("query_id")) == F.count("*").over(W.partitionBy("query_id"))
-    relevance = F.when(whole, F.col("model_score") * 10).otherwise(5.0 - 0.1 * (F.col("original_rank") - 1))
+    relevance = F.when(whole, F.col("model_score") * 10).otherwise(fallback_score())
     return ranked(scored.withColumn("relevance_score", relevance).drop("model_score"), k)
 
 
@@ -53,35 +53,46 @@ def minimum_relevance(hits: DataFrame, k: int, least: float = MIN_RELEVANCE) ->
     return ranked(hits.where(F.col("relevance_score") >= least), k)
 
 
+def fallback_score() -> Column:
+    """From 5.0 down by 0.1 in the order given."""
+    return 5.0 - 0.1 * (F.col("original_rank") - 1)
+
+
 def fallback(hits: DataFrame, k: int) -> DataFrame:
-    return ranked(hits.withColumn("relevance_score", 5.0 - 0.1 * (F.col("original_rank") - 1)), k)
+    return ranked(hits.withColumn("relevance_score", fallback_score()), k)
 
 
 def with_reply_scores(hits: DataFrame, replies: DataFrame) -> DataFrame:
-    """replies: (query_id, reply) of a language model that saw a query's hits in order. relevance_score by position."""
-    n = hits.groupBy("query_id").agg(F.count("*").cast("int").alias("_n"))
-    scores = replies.join(n, "query_id").select("query_id", F.posexplode(parsed_scores(F.col("reply"), F.col("_n"))).alias("_p", "relevance_score"))
-    return hits.join(scores, (hits["query_id"] == scores["query_id"]) & (hits["original_rank"] == scores["_p"] + 1)).drop(scores["query_id"]).drop("_p")
+    """replies: (query_id, reply) of a language model that saw a query's hits in order; the first by text if a query has
+    several. relevance_score by position; a query without a reply keeps the order given, as fallback() scores it."""
+    one = replies.groupBy("query_id").agg(F.min("reply").alias("_reply"))
+    n = F.count("*").over(W.partitionBy("query_id")).cast("int")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("original_rank"))
+    placed = hits.withColumns({"_n": n, "_p": place}).join(one, "query_id", "left")
+    score = F.when(F.col("_reply").isNull(), fallback_score()).otherwise(F.get(parsed_scores(F.col("_reply"), F.col("_n")), F.col("_p") - 1))
+    return placed.withColumn("relevance_score", score).drop("_n", "_p", "_reply")
 
 
 def language_model(hits: DataFrame, replies: DataFrame, k: int, least: float = MIN_RELEVANCE) -> DataFrame:
-    return minimum_relevance(with_reply_scores(hits, replies), k, least)
+    """The best k of each query by its reply's scores, of those of at least `least`; of a query without a reply the first k."""
+    told = with_reply_scores(hits, replies).join(replies.where("reply IS NOT NULL").select("query_id", F.lit(True).alias("_told")).distinct(), "query_id", "left")
+    return ranked(told.where(F.col("_told").isNull() | (F.col("relevance_score") >= least)).drop("_told"), k)
 
 
-#: Fixed text: what a language model is asked for.
+#: What a language model is asked for; the form of the reply is the one that parsed_scores reads.
 SCORING_PROMPT = (
-    "Score how relevant each document chunk is to the query. Respond with ONLY a JSON array, one object a chunk in the order given: "
-    '[{ "id": 0, "score": <number between 0 and 10> }, ...]. '
-    "0-2 not relevant, 3-4 slightly, 5-6 moderately, 7-8 highly, 9-10 perfectly relevant. Be strict; judge meaning, not keywords."
+    "You grade passages for a search engine. For every passage below give a number from 0 (has nothing to do with the query) to 10 "
+    "(answers it in full); half the scale means that it helps somewhat. Go by what a passage says, not by words that it shares with the query. "
+    'Write a JSON array and nothing else, in the order of the passages: [{"id": 0, "score": 7.5}, ...].'
 )
 
 
 def prompts(hits: DataFrame) -> DataFrame:
-    """(query_id, prompt): a query with all its passages, numbered from 0 in their order."""
-    part = F.struct("original_rank", F.concat(F.lit("Chunk: "), (F.col("original_rank") - 1).cast("string"), F.lit("\n"), passage()).alias("t"))
-    whole = hits.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    """(query_id, prompt): the instructions, a query and all its passages, numbered from 0 in their order."""
+    part = F.struct("original_rank", F.concat(F.lit("Chunk: "), (F.row_number().over(W.partitionBy("query_id").orderBy("original_rank")) - 1).cast("string"), F.lit("\n"), passage()).alias("t"))
+    whole = hits.select("query_id", "query", part.alias("_s")).groupBy("query_id", "query").agg(F.array_sort(F.collect_list("_s")).alias("_p"))
     listed = F.array_join(F.transform("_p", lambda x: x["t"]), "\n\n")
-    return whole.select("query_id", F.concat(F.lit("Query: "), F.col("query"), F.lit("\n\nDocument chunks to evaluate:\n\n"), listed, F.format_string("\n\nReturn a JSON array with scores for all %d chunks.", F.size("_p"))).alias("prompt"))
+    return whole.select("query_id", F.concat(F.lit(SCORING_PROMPT + "\n\nThe query is: "), F.col("query"), F.lit("\n\n"), listed, F.format_string("\n\nThe array has %d items.", F.size("_p"))).alias("prompt"))
 
 
 def lexical_scorer(query: pd.Series, text: pd.Series) -> pd.Series:
