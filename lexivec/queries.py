@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -12,8 +12,9 @@ from lexivec.functions.scores import parsed_scores
 from lexivec.functions.text import sha1_prefix, term_hash, tokens
 from lexivec.functions.vectors import l2_normalised, norm
 from lexivec.operators import adjacency, chunking, dense, fusion, rerank, sections, sparse
-from lexivec.session import importable
-from lexivec.sources.store import latest
+from lexivec.plans.service import RagService, Settings
+from lexivec.session import importable, scratch
+from lexivec.sources.store import ChunkStore, latest
 
 QUERY = "the thing and of ther shore entation ing"
 FENCE = "```"
@@ -189,8 +190,86 @@ def upsert_latest(spark, sf_dir):
     return latest(old, new).select("chunk_id", F.sha1("text").alias("text_sha1"))
 
 
+def texts_as_chunks(spark, sf_dir, table: str, key: str, document: Column) -> DataFrame:
+    """A table's texts as chunks of documents, numbered in each by key."""
+    whole = W.partitionBy("source_document")
+    rows = read(spark, sf_dir, table).select(F.col(key).alias("k"), "text", document.cast("string").alias("source_document"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(F.col("k").cast("string").alias("chunk_id"), "text", "source_document", (F.row_number().over(whole.orderBy("k")) - 1).cast("int").alias("chunk_index"), F.count("*").over(whole).cast("int").alias("chunk_total"), none("int").alias("start_page"), none("int").alias("end_page"), none("string").alias("section"), none("string").alias("section_path"), none("array<float>").alias("embedding"), none("map<string,string>").alias("metadata"))
+
+
+def _store(spark, sf_dir) -> ChunkStore:
+    """A fresh store of all documents, by source."""
+    store = ChunkStore(spark, scratch(spark, "store"), buckets=8)
+    store.append(texts_as_chunks(spark, sf_dir, "documents", "doc_id", F.col("source")))
+    return store
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return texts_as_chunks(spark, sf_dir, "benchmark", "item_id", F.lit("benchmark"))
+
+
+def _stored(store: ChunkStore) -> DataFrame:
+    return store.read().select("chunk_id", "source_document", F.sha1("text").alias("text_sha1"))
+
+
+def store_upsert(spark, sf_dir):
+    """Items replace the documents of their numbers, which lie under other documents and so in other buckets."""
+    store = _store(spark, sf_dir)
+    store.upsert(_items(spark, sf_dir))
+    return _stored(store)
+
+
+def store_append(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.append(_items(spark, sf_dir))
+    return _stored(store)
+
+
+def store_clear(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.clear()
+    store.append(_items(spark, sf_dir))
+    return _stored(store)
+
+
 def delete_document(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(~F.col("source").eqNullSafe(F.lit("src0"))).select("doc_id", "source")
+    store = _store(spark, sf_dir)
+    store.delete_document("src0")
+    return store.read().select(F.col("chunk_id").cast("bigint").alias("doc_id"), F.col("source_document").alias("source"))
+
+
+def stored_bm25_topk(spark, sf_dir):
+    """bm25_topk over the sparse vectors that the store keeps."""
+    found = sparse.top_k(sparse.counted_scores(_store(spark, sf_dir).counts().withColumn("id", F.col("id").cast("bigint")), asked(spark)), 10)
+    return _named(found)
+
+
+def stored_tf_topk(spark, sf_dir):
+    """idf_query_topk over the sparse vectors that the store keeps."""
+    found = sparse.top_k(sparse.counted_scores(_store(spark, sf_dir).counts().withColumn("id", F.col("id").cast("bigint")), asked(spark), "idf"), 10)
+    return _named(found)
+
+
+def rag_search_hybrid(spark, sf_dir):
+    """The service over a store: dense and sparse lists, their fusion, the best 5 and their neighbours. Documents have the
+    vectors of their numbers, ten a file; the query has the first vector."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("_v"))
+    chunks = texts_as_chunks(spark, sf_dir, "documents", "doc_id", F.concat(F.lit("d"), F.floor(F.col("doc_id") / 10)))
+    chunks = chunks.join(vectors, "chunk_id", "left").withColumn("embedding", F.col("_v")).drop("_v")
+    store, first = ChunkStore(spark, scratch(spark, "store"), buckets=8), _vector(read(spark, sf_dir, "embeddings"))
+    store.append(chunks)
+    service = RagService(store, Settings(mode="hybrid", truncate_before_expand=True), embedder=lambda texts: texts.map(lambda _: first))
+    return service.search(QUERY, 5).select(F.col("chunk_id").cast("bigint").alias("doc_id"), "is_hit", "rank")
+
+
+def llm_rerank_topk(spark, sf_dir):
+    """Two queries of the same hits: one whose reply scores them by their ids, one that got no reply."""
+    hits = _rerank_hits(spark, sf_dir)
+    score = F.struct("original_rank", F.format_string('{"id":%d,"score":%d}', F.col("original_rank") - 1, F.col("doc_id") % 11).alias("s"))
+    replies = hits.groupBy("query_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(score)), lambda x: x["s"]), ","), F.lit("]")).alias("reply"))
+    both = hits.unionByName(hits.withColumn("query_id", F.lit(1)))
+    return rerank.language_model(both, replies, 5).select("query_id", "doc_id", F.round("relevance_score", 6).alias("relevance_score"), "original_rank", "new_rank")
 
 
 def _rerank_hits(spark, sf_dir) -> DataFrame:
@@ -272,7 +351,7 @@ def hashed_vectors(spark, sf_dir):
 
 
 def rag_search(spark, sf_dir):
-    """Hybrid retrieval of twice k, neighbours, the lexical reranker, the best k: over conversations, turn by turn."""
+    """Sparse retrieval of twice k, neighbours, the lexical reranker, the best k: over conversations, turn by turn."""
     hits, chunks = _chat_hits(spark, sf_dir, 10)
     wide = adjacency.expand(hits, chunks, 1).withColumns({"query_id": F.lit(0), "query": F.lit(QUERY), "original_rank": F.col("rank")})
     found = rerank.cross_encoder(wide, rerank.lexical_scorer, 5)
@@ -291,6 +370,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokenize_counts, term_frequency, document_frequency, corpus_stats, bm25_weights, bm25_topk, bm25_classic_topk, bm25_batch_topk, cosine_topk, cosine_batch_topk, l2_normalize_norms, centroid_by_label,
         tf_sparse_weights, idf_query_topk, prefetch_topk, rrf_fusion, hybrid_topk, fixed_stride_chunks, chunk_ids, embedding_text, greedy_chunks, adjacent_expand, fetch_by_indices, fetch_neighbours, upsert_latest, delete_document,
         rerank_scores_topk, rerank_min_relevance, llm_score_parse, context_string, html_heading_sections, font_statistics, line_breaks, format_sections, term_hashes, hashed_vectors, rag_search, best_turn_rank,
+        store_upsert, store_append, store_clear, stored_bm25_topk, stored_tf_topk, rag_search_hybrid, llm_rerank_topk,
     )
 }
 
@@ -418,3 +498,23 @@ SELECT source_document, page_number, sum(b)::BIGINT AS n_breaks, count(*)::BIGIN
 SELECT source_document, chunk_index, is_hit, relevance_score, original_rank, row_number() OVER (ORDER BY relevance_score DESC, original_rank)::INTEGER AS new_rank FROM z QUALIFY new_rank <= 5""",
     "best_turn_rank": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn)::INTEGER AS rank FROM conversations",
 }
+
+_STORED = "SELECT doc_id::VARCHAR AS chunk_id, source AS source_document, sha1(text) AS text_sha1 FROM documents"
+_ITEMS = "SELECT item_id::VARCHAR AS chunk_id, 'benchmark' AS source_document, sha1(text) AS text_sha1 FROM benchmark"
+ORACLES |= {
+    "store_upsert": f"{_STORED} WHERE doc_id::VARCHAR NOT IN (SELECT item_id::VARCHAR FROM benchmark) UNION ALL {_ITEMS}",
+    "store_append": f"{_STORED} UNION ALL {_ITEMS}",
+    "store_clear": _ITEMS,
+    "stored_bm25_topk": ORACLES["bm25_topk"],
+    "stored_tf_topk": ORACLES["idf_query_topk"],
+    "rag_search_hybrid": f"""WITH {_POSTINGS}, {_asked()}, {_BM25}, {_COSINE.replace("FROM embeddings WHERE", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) AND")},
+a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id::VARCHAR)::INTEGER AS rank FROM c QUALIFY rank <= 28), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id::VARCHAR)::INTEGER AS rank FROM s QUALIFY rank <= 12),
+f AS (SELECT id, round(sum(x), 6) AS score FROM (SELECT id, 1.0::DOUBLE / (1 + rank) AS x FROM a UNION ALL SELECT id, 1.0::DOUBLE / (1 + rank) FROM b) GROUP BY id),
+h AS (SELECT id, row_number() OVER (ORDER BY score DESC, id::VARCHAR)::INTEGER AS rank FROM f QUALIFY rank <= 5),
+n AS (SELECT i AS id, min(rank) AS parent FROM (SELECT rank, id // 10 AS g, unnest([id - 1, id + 1]) AS i FROM h) WHERE i // 10 = g AND i IN (SELECT doc_id FROM documents) AND i NOT IN (SELECT id FROM h) GROUP BY 1)
+SELECT id AS doc_id, true AS is_hit, rank FROM h UNION ALL
+SELECT id, false, ((SELECT max(rank) FROM h) + row_number() OVER (ORDER BY parent, 'd' || (id // 10), id))::INTEGER FROM n""",
+    "llm_rerank_topk": f"""{_RERANK}, z AS (SELECT 0 AS query_id, doc_id, (doc_id % 11)::DOUBLE AS relevance_score, original_rank FROM y WHERE least(10, doc_id % 11) >= 5
+      UNION ALL SELECT 1, doc_id, round(5.0::DOUBLE - 0.1::DOUBLE * (original_rank - 1), 6), original_rank FROM y)
+SELECT query_id, doc_id, relevance_score, original_rank, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, original_rank)::INTEGER AS new_rank FROM z QUALIFY new_rank <= 5""",
+}
