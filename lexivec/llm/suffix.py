@@ -5,10 +5,11 @@ at the same place, so strings are compared among those of equal anchor only. The
 the bytes of its strings a segment, so a text is cut into segments of a few hundred bytes.
 
 Equal segments meet in partial sums. Where unequal segments share an anchor, one copy of each is brought together, and the
-suffixes at their starts are put in order by prefix doubling. In that order the previous and the next smaller position of a
+suffixes at their starts are put in order by prefix tripling. In that order the previous and the next smaller position of a
 suffix are its best earlier matches: its longest previous factor (LPF) is the longer of both. Kept to `length`: the suffix
 has an earlier match of that length if either stands in its block of equal strings. The mirror image (previous and next
-larger position) gives later matches. keep="first" removes what has an earlier match; keep="none" what has either. Only
+larger position) gives later matches: a string has one if another of its block has an earlier match. keep="first" removes
+what has an earlier match; keep="none" what has either. Only
 starts whose string has the hash of another start of the anchor are put in order; the others have no match.
 An anchor with more than MOST segments is resolved by 128-bit hashes of its strings instead, dealt out evenly.
 
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,30 +84,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, extent: int = 0)
 
 
 def prefix_ranks(data: np.ndarray, lengths: list[int]) -> dict[int, tuple[np.ndarray, int]]:
-    """By prefix doubling, for each length: the ranks of all strings of the largest power of two up to it, and that width."""
-    n, found = len(data), {}
-    rank, width = data.astype(np.uint64), 1
+    """For each length: the ranks of all strings of a width up to it, and that width, of which three cover the length. Eight
+    bytes are a number as they are; then three ranks in a row make one of three times the width, while they fit a number
+    (two of twice the width for very long data)."""
+    n, width, found = len(data), min(8, *lengths), {}
+    rank = np.zeros(n - width + 1, np.uint64)
+    for k in range(width):
+        rank = rank << np.uint64(8) | data[k : n - width + 1 + k]
+    bits = int(n).bit_length()
+    step = 3 if 3 * bits <= 64 else 2
     while True:
-        found |= {k: (rank, width) for k in lengths if width <= k < 2 * width}
-        if 2 * width > max(lengths):
+        found |= {k: (rank, width) for k in lengths if width <= k < step * width or k == width}
+        if step * width > max(lengths):
             return found
-        left, right = rank[: n - 2 * width + 1], rank[width : n - width + 1]
-        rank = left << np.uint64(8 * width) | right if width < 4 else _ranks(left, right)  # short prefixes are numbers as they are
-        width *= 2
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        m = n - step * width + 1
+        rank, width = sum((rank[k * width : k * width + m] << np.uint64((step - 1 - k) * bits) for k in range(1, step)), rank[:m] << np.uint64((step - 1) * bits)), step * width
 
 
 def suffix_blocks(data: np.ndarray, starts: np.ndarray, length: int, ranks: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The starts in the order of the `length` bytes from each on, and of each the number of its block of equal strings."""
     rank, width = (ranks or prefix_ranks(data, [length]))[length]
-    left, right = rank[starts], rank[starts + length - width]
-    order = np.lexsort((right, left))
-    left, right = left[order], right[order]
-    block = np.cumsum(np.concatenate([[0], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-    return order, block
-
-
-def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return np.unique((high << np.uint64(32)) | low, return_inverse=True)[1].astype(np.uint64)
+    keys = [rank[starts + at] for at in dict.fromkeys((0, min(width, length - width), length - width))]
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(len(starts), bool)
+    for key in keys:
+        key = key[order]
+        fresh[1:] |= key[1:] != key[:-1]
+    return order, np.cumsum(fresh)
 
 
 def nearest_smaller(position: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +140,8 @@ def matched(data: np.ndarray, starts: np.ndarray, position: np.ndarray, length:
     order, block = suffix_blocks(data, starts, length, ranks)
     before, after = nearest_smaller(position[order], block)
     hit = (before >= 0) | (after >= 0)
-    if keep == "none":
-        before, after = nearest_smaller(-position[order], block)
-        hit |= (before >= 0) | (after >= 0)
+    if keep == "none":  # where one has an earlier match, all in its block have an earlier or a later one
+        hit = (np.bincount(block, hit) > 0)[block]
     out = np.zeros(len(starts), bool)
     out[order] = hit
     return out
@@ -316,26 +321,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     fields = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_shared"] if shared else []), *(["removed", "kept"] if with_bytes else [])]
 
-    def covered(size: int, found: list | None, length: int) -> np.ndarray:
-        edge = np.zeros(size + 1, np.int32)
-        for s in found or []:
-            edge[s["first"]] += 1
-            edge[s["last"] + length] -= 1
+    def covered(offsets: np.ndarray, spans: pa.Array | None, width: int) -> np.ndarray:
+        """Which bytes of all texts end to end stand in the strings of `width` bytes that the rows' spans name."""
+        if spans is None:
+            return np.zeros(offsets[-1], bool)
+        sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+        flat, at = pc.list_flatten(spans), np.repeat(offsets[:-1], sizes)
+        edge = np.bincount(at + flat.field("first").to_numpy(), minlength=offsets[-1] + 1) - np.bincount(at + flat.field("last").to_numpy() + width, minlength=offsets[-1] + 1)
         return np.cumsum(edge[:-1]) > 0
 
-    def cut(batch: pa.RecordBatch, spans_by_row: list, short_by_row: list) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, spans: pa.Array | None = None, short: pa.Array | None = None) -> pa.RecordBatch:
         data, offsets = common.raw_bytes(batch.column("text"))
-        counts, cuts, kept, also = [], [], [], []
-        for k, (found, short) in enumerate(zip(spans_by_row, short_by_row)):
-            text = data[offsets[k] : offsets[k + 1]]
-            gone = covered(len(text), found, length)
-            also.append(int(covered(len(text), short, shared).sum()) if shared else 0)
-            cuts.append([{"start": a, "end": b + 1} for a, b in spans_of(gone).tolist()])
-            kept.append(text[~gone].tobytes() if found else text.tobytes())
-            counts.append(int(gone.sum()))
-        columns = [batch.column("id"), pa.array(np.diff(offsets)), pa.array(counts, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept])]
-        columns += [pa.array(also, pa.int64())] if shared else []
-        columns += [pa.array(cuts, pa.list_(pair)), pa.array(kept, pa.binary())] if with_bytes else []
+        count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
+        gone = covered(offsets, spans, length)
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = gone[offsets[:-1][np.diff(offsets) > 0]]
+        whole = [(data[a:b], gone[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        kept = [(text[~out] if out.any() else text).tobytes() for text, out in whole]
+        columns = [batch.column("id"), pa.array(np.diff(offsets)), pa.array(count(gone)), pa.array(count(begins)), pa.array([hashlib.sha256(t).hexdigest() for t in kept])]
+        columns += [pa.array(count(covered(offsets, short, shared)))] if shared else []
+        if with_bytes:
+            columns += [pa.array([[{"start": a, "end": b + 1} for a, b in spans_of(out).tolist()] for _, out in whole], pa.list_(pair)), pa.array(kept, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=fields)
 
     def versions(batch: pa.RecordBatch) -> np.ndarray:
@@ -345,7 +352,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in common.slices(batches):
             stay = batch.filter(pa.array(~losers.may_hold(versions(batch))))
             if stay.num_rows:
-                yield cut(stay, [None] * stay.num_rows, [None] * stay.num_rows)
+                yield cut(stay)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -355,7 +362,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            yield cut(batch, batch.column("spans").to_pylist(), batch.column("short").to_pylist())
+            yield cut(batch, batch.column("spans"), batch.column("short"))
 
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", n_shared bigint" * bool(shared) + ", removed array<struct<start: bigint, end: bigint>>, kept binary" * with_bytes
     own = docs.mapInArrow(suspects, f"id {kind}, text string, version bigint")
