@@ -8,11 +8,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexivec.functions.text import is_blank, round1, squeeze, strip
 from lexivec.operators.chunking import SECTION
@@ -34,15 +38,21 @@ def reading_order() -> list[str]:
 def font_statistics(blocks: DataFrame, heading_color: str | None = None, max_font_size: float | None = None) -> DataFrame:
     """Per document: average, largest, smallest and body font size and the distinct heading sizes, largest first. The body
     size is the most frequent size to one decimal, of equals the one seen first; headings exceed 1.1 times the body."""
+    return _statistics(blocks, heading_color, max_font_size).drop("_rounded")
+
+
+def _statistics(blocks: DataFrame, heading_color: str | None, max_font_size: float | None) -> DataFrame:
+    """font_statistics and _rounded, the document's sizes to one decimal by size: sizes are rounded once, not once a word."""
     raw = blocks.where("font_size > 0").groupBy(DOC, "font_size", "color_key").agg(F.count("*").alias("n"), F.min("seq").alias("seen"))
     sized = raw.withColumn("rounded", round1(F.col("font_size")))  # a row a size of a document, not a word
     own_color = F.lit(heading_color).isNull() | (F.col("color_key") == F.lit(heading_color))
-    counts = sized.groupBy(DOC, "rounded").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.max(F.when(own_color, 1).otherwise(0)).alias("coloured"), F.sum(F.col("n") * F.col("font_size")).alias("s"), F.max("font_size").alias("hi"), F.min("font_size").alias("lo"))
+    counts = sized.groupBy(DOC, "rounded").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.max(F.when(own_color, 1).otherwise(0)).alias("coloured"), F.sum(F.col("n") * F.col("font_size")).alias("s"), F.max("font_size").alias("hi"), F.min("font_size").alias("lo"), F.collect_set("font_size").alias("own"))
     body = F.max_by("rounded", F.struct(F.col("n"), -F.col("seen")))
-    whole = counts.groupBy(DOC).agg((F.sum("s") / F.sum("n")).alias("average_size"), F.max("hi").alias("max_size"), F.min("lo").alias("min_size"), body.alias("body_size"), F.collect_list(F.struct("rounded", "coloured")).alias("_sizes"))
+    whole = counts.groupBy(DOC).agg((F.sum("s") / F.sum("n")).alias("average_size"), F.max("hi").alias("max_size"), F.min("lo").alias("min_size"), body.alias("body_size"), F.collect_list(F.struct("rounded", "coloured", "own")).alias("_sizes"))
     fits = lambda x: (x["rounded"] > F.col("body_size") * 1.1) & (x["coloured"] == 1) & (F.lit(True) if max_font_size is None else x["rounded"] <= F.lit(max_font_size))
     sizes = F.sort_array(F.transform(F.filter("_sizes", fits), lambda x: x["rounded"]), asc=False)
-    whole = whole.select(DOC, "average_size", "max_size", "min_size", "body_size", sizes.alias("heading_sizes"))
+    rounded = F.map_from_entries(F.flatten(F.transform("_sizes", lambda x: F.transform(x["own"], lambda size: F.struct(size, x["rounded"])))))
+    whole = whole.select(DOC, "average_size", "max_size", "min_size", "body_size", sizes.alias("heading_sizes"), rounded.alias("_rounded"))
     every = blocks.select(DOC).distinct().join(whole, DOC, "left")
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("average_size", "max_size", "min_size", "body_size")}
     return every.withColumns(zero | {"heading_sizes": F.coalesce("heading_sizes", F.array().cast("array<double>"))})
@@ -142,23 +152,32 @@ class Outline:
 
 
 def format_sections(blocks: DataFrame, max_heading_depth: int = 2, heading_color: str | None = None, max_font_size: float | None = None, skip_pages: int = 0, keep_bodyless_headings: bool = False) -> DataFrame:
-    """Sections (chunking.SECTION) of word blocks by font. Levels and breaks are native; the fold is one pass over a
-    document's blocks, which meet in one task sorted, and is the one step that needs them in sequence."""
+    """Sections (chunking.SECTION) of word blocks by font. Sizes, levels and breaks are columns; the fold is one pass over a
+    document's blocks, which come sorted and are not held, and is the one step that needs them in sequence."""
     if max_heading_depth < 1:
         raise ValueError("max_heading_depth must be at least 1")
     importable(blocks.sparkSession)
     kept = readable(blocks, skip_pages, max_font_size)
-    stats = font_statistics(kept, heading_color, max_font_size)
-    rows = line_breaks(kept).withColumn("_r", round1(F.col("font_size"))).join(stats, DOC)
+    stats = _statistics(kept, heading_color, max_font_size)
+    rows = line_breaks(kept).join(stats, DOC).withColumn("_r", F.try_element_at("_rounded", F.col("font_size")))
     rows = rows.withColumn("level", heading_level(F.col("_r"), F.col("font_size"), F.col("is_bold"), F.col("color_key"), F.col("heading_sizes"), F.col("body_size"), heading_color))
-    outline = Outline(max_heading_depth, keep_bodyless_headings)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(reading_order(), kind="stable")
-        found = outline.fold(zip(frame.text, frame.page_number, frame.font_size, frame.level, frame.breaks))
-        return pd.DataFrame([(frame[DOC].iloc[0], *s) for s in found], columns=[DOC, "heading_text", "full_heading_path", "level", "start_page", "end_page", "page_texts"])
-
-    return rows.select(DOC, "text", "page_number", "font_size", "level", "breaks", "top", "bottom", "x0", "seq").groupBy(DOC).applyInPandas(fold, SECTION)
+    outline, schema = Outline(max_heading_depth, keep_bodyless_headings), to_arrow_schema(T.StructType.fromDDL(SECTION))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        held: list[dict] = []
+        for name, own in groupby(blocks, key=lambda row: row[0]):
+            held += [dict(zip(schema.names, (name, *section))) for section in outline.fold(row[1:] for row in own)]
+            if len(held) >= 256:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    # dealt anew, as a skewed join may have split a document
+    order = [F.col(c).asc_nulls_last() for c in (DOC, *reading_order())]
+    ready = rows.select(DOC, "text", "page_number", "font_size", "level", "breaks", *reading_order()[1:]).repartition(DOC).sortWithinPartitions(*order)
+    return ready.select(DOC, "text", "page_number", "font_size", "level", "breaks").mapInArrow(fold, SECTION)
 
 
 def simple_sections(pages: DataFrame, skip_pages: int = 0) -> DataFrame:
