@@ -239,3 +239,61 @@ def test_large_buckets_flow():
     small = [b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)]
     ids = [i for b in line_dedup._near(iter(small)) for i in b.column("id").to_pylist()]
     assert ids == [0, 1, 3, *range(5, n + 5), n + 5, n + 6]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distances():
+    r = random.Random(1)
+    tidy = lambda c: " ".join("".join(c).split())
+    for _ in range(400):
+        a = tidy(r.choice("ab c") for _ in range(r.randint(1, 90)))
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 2 + 1)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 2)] = r.choice(["", "x", "ab", "c "])
+        b = tidy(b)
+        d = plain_distance(a, b)
+        for most in (0, 1, 3, 8, 20, 100):
+            assert line_dedup.distance(a, b, most) == min(d, most + 1)
+            assert line_dedup.alignment(a, b, most) >= min(d, most + 1)
+        found = np.abs(np.diff(line_dedup.profiles([a, b]), axis=0)).sum()
+        assert found <= 4 * d
+
+
+@pytest.mark.parametrize("held, wide", [(1 << 14, 2), (16, 64), (4, 64)])
+def test_pieces_of_buckets_lose_no_pair(monkeypatch, held, wide):
+    """Buckets cut by length, and rows that go on under other lanes, against buckets taken whole."""
+    r = random.Random(6)
+    texts = [base_text(r, r.randint(12, 40)) for _ in range(12)]
+    lines = sorted({edited(r, t, r.randint(0, 4)) for t in texts for _ in range(12)} | {f"{texts[0]} {base_text(r, 2)}" for _ in range(30)})
+    keys = line_dedup.line_keys(lines)[:, 0].copy()
+    buckets, counts, sides = line_dedup._buckets(lines, keys, 0.9)
+    rows, n = np.repeat(np.arange(len(lines)), counts), np.array([len(x) for x in lines], np.int32)
+    order = np.lexsort((keys.view(np.int64)[rows], n[rows], buckets.view(np.int64)))
+    rows, buckets = rows[order], buckets[order]
+    columns = [buckets.view(np.int64), n[rows], keys[rows].view(np.int64), *(s.view(np.int64) for s in sides[rows].T.copy())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "n", "key", *line_dedup.SIDES])
+
+    def together():
+        groups = defaultdict(set)
+        for found in line_dedup._alike(0.9)(batch.slice(k, 50) for k in range(0, batch.num_rows, 50)):
+            for g, i in zip(found.column("key").to_pylist(), found.column("id").to_pylist()):
+                groups[g].add(i)
+        return {(a, b) for g in groups.values() for a in g for b in g if a < b}
+
+    monkeypatch.setattr(line_dedup.common, "merged", lambda batches: batches)
+    whole = together()
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    monkeypatch.setattr(line_dedup, "WIDE", wide)
+    own = keys.view(np.int64).tolist()
+    linked = {tuple(sorted((own[i], own[j]))) for i in range(len(lines)) for j in range(i) if line_dedup.similar(lines[i], lines[j], 0.9)}
+    assert len(linked) > 100 and linked <= whole and linked <= together()
