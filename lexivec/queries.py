@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexivec.functions.scores import parsed_scores
-from lexivec.functions.text import sha1_prefix, term_hash, tokens
+from lexivec.functions.text import sha1_prefix, term_hash, tokens, uuid5
 from lexivec.functions.vectors import l2_normalised, norm
 from lexivec.operators import adjacency, chunking, dense, fusion, rerank, sections, sparse
 from lexivec.plans.service import RagService, Settings
 from lexivec.session import importable, scratch
-from lexivec.sources.store import ChunkStore, latest
+from lexivec.sources import files
+from lexivec.sources.store import ChunkStore, from_payload, latest, to_payload
 
 QUERY = "the thing and of ther shore entation ing"
 FENCE = "```"
@@ -358,6 +359,48 @@ def rag_search(spark, sf_dir):
     return found.select("source_document", "chunk_index", "is_hit", F.round("relevance_score", 6).alias("relevance_score"), "original_rank", "new_rank")
 
 
+def readable_blocks(spark, sf_dir):
+    """Words that are left of each document after its first page, without the largest ones."""
+    return sections.readable(blocks(spark, sf_dir), skip_pages=1, max_font_size=13.0).groupBy("source_document").agg(F.count("*").alias("n_words"), F.max("page_number").cast("bigint").alias("last_page"))
+
+
+def simple_sections(spark, sf_dir):
+    """A section a document, each text line a page, without the first page."""
+    lines = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_document"), F.posexplode(F.split("text", "\n", -1)).alias("p", "text"))
+    found = sections.simple_sections(lines.withColumn("page_number", F.col("p") + 1), skip_pages=1)
+    return found.select("source_document", "start_page", "end_page", F.size("page_texts").cast("bigint").alias("n_pages"))
+
+
+def paragraph_breaks(spark, sf_dir):
+    """Breaks by the finer rule, with lines set twice as far apart."""
+    apart = blocks(spark, sf_dir).where("text RLIKE '[^ ]'").withColumns({"top": F.col("top") * 2, "bottom": F.col("top") * 2 + 10.0})
+    return sections.paragraph_breaks(apart).groupBy("source_document", "page_number").agg(F.sum(F.col("breaks").cast("bigint")).alias("n_breaks"))
+
+
+def name_uuids(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", uuid5(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+def json_round_trip(spark, sf_dir):
+    path = scratch(spark, "chunks")
+    files.write_chunks_json(_items(spark, sf_dir), path)
+    return files.read_chunks(spark, path, "jsonl").select("chunk_id", "chunk_index", F.sha1("text").alias("text_sha1"))
+
+
+def stats_round_trip(spark, sf_dir):
+    path = scratch(spark, "stats")
+    files.write_stats(document_frequency(spark, sf_dir), sparse.corpus_totals(read(spark, sf_dir, "documents"), "text"), path)
+    df, totals = files.read_stats(spark, path)
+    return df.crossJoin(F.broadcast(totals.select("n", "total_length")))  # one row
+
+
+def payload_round_trip(spark, sf_dir):
+    """Documents with a vector as a vector service's points, and back."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("_v"))
+    chunks = texts_as_chunks(spark, sf_dir, "documents", "doc_id", F.col("source")).join(vectors, "chunk_id", "left").withColumn("embedding", F.col("_v")).drop("_v")
+    return from_payload(to_payload(chunks)).select("chunk_id", "source_document", "chunk_index", "chunk_total", F.sha1("text").alias("text_sha1"), F.size("embedding").alias("dimensions"))
+
+
 def best_turn_rank(spark, sf_dir):
     """Each conversation's turns by length: the rank window that hits and lists use."""
     order = W.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn")
@@ -371,6 +414,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tf_sparse_weights, idf_query_topk, prefetch_topk, rrf_fusion, hybrid_topk, fixed_stride_chunks, chunk_ids, embedding_text, greedy_chunks, adjacent_expand, fetch_by_indices, fetch_neighbours, upsert_latest, delete_document,
         rerank_scores_topk, rerank_min_relevance, llm_score_parse, context_string, html_heading_sections, font_statistics, line_breaks, format_sections, term_hashes, hashed_vectors, rag_search, best_turn_rank,
         store_upsert, store_append, store_clear, stored_bm25_topk, stored_tf_topk, rag_search_hybrid, llm_rerank_topk,
+        readable_blocks, simple_sections, paragraph_breaks, name_uuids, json_round_trip, stats_round_trip, payload_round_trip,
     )
 }
 
@@ -517,4 +561,15 @@ SELECT id, false, ((SELECT max(rank) FROM h) + row_number() OVER (ORDER BY paren
     "llm_rerank_topk": f"""{_RERANK}, z AS (SELECT 0 AS query_id, doc_id, (doc_id % 11)::DOUBLE AS relevance_score, original_rank FROM y WHERE least(10, doc_id % 11) >= 5
       UNION ALL SELECT 1, doc_id, round(5.0::DOUBLE - 0.1::DOUBLE * (original_rank - 1), 6), original_rank FROM y)
 SELECT query_id, doc_id, relevance_score, original_rank, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, original_rank)::INTEGER AS new_rank FROM z QUALIFY new_rank <= 5""",
+    "readable_blocks": f"WITH {_BLOCKS} SELECT source_document, count(*) AS n_words, max(page_number)::BIGINT AS last_page FROM bl WHERE page_number > 1 AND size <= 13 GROUP BY 1",
+    "simple_sections": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)
+SELECT 'doc_' || doc_id AS source_document, 2 AS start_page, max(p)::INTEGER AS end_page, count(*) FILTER (p > 1 AND regexp_matches(line, '[^\\s]')) AS n_pages FROM l GROUP BY doc_id HAVING count(*) FILTER (p > 1 AND regexp_matches(line, '[^\\s]')) > 0""",
+    "paragraph_breaks": f"""WITH {_BLOCKS}, t AS (SELECT source_document, page_number, w // 7 AS line, lag(w // 7) OVER o AS before, lag(word) OVER o AS last FROM bl WINDOW o AS (PARTITION BY source_document, page_number ORDER BY w))
+SELECT source_document, page_number, sum(CASE WHEN before IS NULL OR line = before THEN 0 WHEN line > before + 1 THEN 1 WHEN regexp_matches(last, '[.?!:;]$') OR regexp_matches(last, '^[0-9].*[.)]$') THEN 1 ELSE 0 END)::BIGINT AS n_breaks FROM t GROUP BY 1, 2""",
+    "name_uuids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '/' || doc_id)) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', h[17:17]) - 1) % 4, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
+    "json_round_trip": "SELECT item_id::VARCHAR AS chunk_id, (row_number() OVER (ORDER BY item_id) - 1)::INTEGER AS chunk_index, sha1(text) AS text_sha1 FROM benchmark",
+    "stats_round_trip": f"WITH {_POSTINGS} SELECT term, df, n, total AS total_length FROM df, st",
+    "payload_round_trip": """SELECT doc_id::VARCHAR AS chunk_id, source AS source_document, i AS chunk_index, t AS chunk_total, sha1(text) AS text_sha1, len(embedding)::INTEGER AS dimensions
+FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS i, (count(*) OVER (PARTITION BY source))::INTEGER AS t FROM documents) JOIN embeddings ON vec_id = doc_id WHERE len(embedding) > 0""",
 }

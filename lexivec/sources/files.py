@@ -31,8 +31,12 @@ def parsed_files(spark: SparkSession, path: str, parser: Callable[[str, bytes],
 
 
 def read_chunks(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """Chunks from Parquet, or from JSON: one array or a line a chunk, missing fields null."""
-    return spark.read.schema(CHUNKS).json(path, multiLine=True) if form == "json" else spark.read.schema(CHUNKS).parquet(path)
+    """Chunks from Parquet, from "json" (an array or an object a file) or from "jsonl" (an object a line, as they are written);
+    missing fields are null."""
+    if form not in ("parquet", "json", "jsonl"):
+        raise ValueError("form is parquet, json or jsonl")
+    read = spark.read.schema(CHUNKS)
+    return read.parquet(path) if form == "parquet" else read.json(path, multiLine=form == "json")
 
 
 def write_chunks_json(chunks: DataFrame, path: str) -> None:
