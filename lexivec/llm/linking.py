@@ -22,6 +22,8 @@ from lexivec.llm import common
 
 #: What the rows of an open bucket may weigh to be resolved in one task; a larger one is cut into tiles of about that weight.
 BUCKET_BYTES = 48 << 20
+#: Likely links of a row that are confirmed one by one.
+TRIED = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -106,10 +108,10 @@ def by_key(solve: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa
     return run
 
 
-def join_components(component: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray], sure: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def join_components(component: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray], sure: Callable[[int, int], bool] | None = None, many: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that join the components of rows: each row outside the largest one is tested, by linked(row, others), against
     the rows that are not in its component as yet. With sure(row, other) what linked() gives are only likely links, which are
-    confirmed one by one, while they would still join something."""
+    confirmed one by one, while they would still join something; after TRIED of them many(row, others) judges all that would."""
     label = np.unique(component, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     later = label == np.bincount(label).argmax()  # rows that are still to be compared: the largest component's always
@@ -117,9 +119,15 @@ def join_components(component: np.ndarray, linked: Callable[[int, np.ndarray], n
     later[turns] = True
     for i in turns:
         later[i] = False  # the row meets all that follow now, so they need not meet it
-        others = np.flatnonzero(later & (label != label[i]))
-        for j in linked(i, others).tolist():
-            if label[i] != label[j] and (sure is None or sure(i, j)):
-                label[label == label[j]] = label[i]
-                out.append((i, j))
+        near, tried, check = linked(i, np.flatnonzero(later & (label != label[i]))), 0, sure
+        while len(near):
+            j, near = near[0], near[1:]
+            if label[i] != label[j]:
+                if check is None or check(i, int(j)):
+                    label[label == label[j]] = label[i]
+                    out.append((i, int(j)))
+                tried += 1
+                if tried == TRIED and check is not None and many is not None:
+                    near = near[label[near] != label[i]]
+                    near, check = near[many(i, near)], None
     return out

@@ -267,6 +267,23 @@ def test_distances():
             assert line_dedup.alignment(a, b, most) >= min(d, most + 1)
         found = np.abs(np.diff(line_dedup.profiles([a, b]), axis=0)).sum()
         assert found <= 4 * d
+        code = lambda s: np.array([ord(c) - 32 for c in s], np.int64)
+        assert line_dedup.distances(code(a), [code(b), code(""), code(a), code(b + a)], 100).tolist() == [d, len(a), 0, plain_distance(a, b + a)]
+
+
+def test_likely_links_join_all_components():
+    """One by one and many at once, against all links."""
+    r = random.Random(3)
+    for _ in range(60):
+        n = r.randint(2, 40)
+        component = np.array([r.randrange(n) for _ in range(n)])
+        links = {tuple(sorted(r.sample(range(n), 2))) for _ in range(r.randint(0, n))}
+        sure = lambda i, j: tuple(sorted((i, j))) in links  # noqa: E731, B023
+        wanted = groups([*links, *((i, j) for i in range(n) for j in range(i) if component[i] == component[j])], range(n))
+        for many in (None, lambda i, others: np.array([sure(i, j) for j in others.tolist()], bool)):  # noqa: B023
+            pairs = linking.join_components(component, lambda i, others: others, sure, many)
+            assert set(map(lambda p: tuple(sorted(p)), pairs)) <= links
+            assert groups([*pairs, *((i, j) for i in range(n) for j in range(i) if component[i] == component[j])], range(n)) == wanted
 
 
 @pytest.mark.parametrize("held, wide", [(1 << 14, 2), (16, 64), (4, 64)])
