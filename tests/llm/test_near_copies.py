@@ -314,3 +314,72 @@ def test_pieces_of_buckets_lose_no_pair(monkeypatch, held, wide):
     own = keys.view(np.int64).tolist()
     linked = {tuple(sorted((own[i], own[j]))) for i in range(len(lines)) for j in range(i) if line_dedup.similar(lines[i], lines[j], 0.9)}
     assert len(linked) > 100 and linked <= whole and linked <= together()
+
+
+def measured_lines():
+    """Families of lines: copies with a few edits, lines that share half of themselves, and lengths around words of bits."""
+    r = random.Random(8)
+    out = ["", "a", "漢字" * 40, "漢字" * 39 + "x"]
+    for n in (12, 44, 45, 63, 64, 65, 128, 129, 300):
+        for _ in range(3):
+            line = "".join(r.choice("abcd ") for _ in range(n))
+            out += [line, line[: n // 2] + "".join(r.choice("efgh ") for _ in range(n - n // 2))]
+            for edits in (1, 2, n // 12, n // 10, n // 10 + 1, n // 6):
+                w = list(line)
+                for _ in range(edits):
+                    k = r.randrange(len(w))
+                    w[k : k + r.randint(0, 2)] = r.choice(["", "x", "ab", "c"])
+                out.append("".join(w))
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("together", [4096, 7])
+def test_pairs_measured_together(monkeypatch, together):
+    """Many pairs at once, with bands of blocks and early leave, against one by one; hardly any pair is left to be measured alone."""
+    lines = measured_lines()
+    alone = []
+    one = line_dedup.distance
+    size, r = np.array([len(x) for x in lines]), random.Random(2)
+    a = np.repeat(np.arange(len(lines)), len(lines))
+    b = np.tile(np.arange(len(lines)), len(lines))
+    for share in (0.1, 0.3, 1):
+        most = (share * np.maximum(size[a], size[b])).astype(np.int64)
+        pick = np.array(r.sample(range(len(a)), 6000))
+        wanted = [one(lines[i], lines[j], m) <= m for i, j, m in zip(a[pick].tolist(), b[pick].tolist(), most[pick].tolist())]
+        monkeypatch.setattr(line_dedup, "TOGETHER", together)
+        monkeypatch.setattr(line_dedup, "distance", lambda x, y, m: alone.append(1) or one(x, y, m))
+        assert line_dedup.within(line_dedup._letters(lines), np.cumsum(size), a[pick], b[pick], most[pick]).tolist() == wanted and any(wanted)
+    assert together == 7 or len(alone) < 1000
+
+
+@pytest.mark.parametrize("together", [4096, 1])
+def test_open_groups_are_joined_whole(monkeypatch, together):
+    """The components that testing all pairs of each group would give, of groups that share rows."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    r = random.Random(11)
+    own = [x for x in measured_lines() if len(x) >= 10]
+    members = sorted((k, i) for k in range(5) for i in range(len(own)) if r.random() < 0.5)
+    lines, keys = [own[i] for _, i in members], np.array([k for k, _ in members])
+    known = np.array([i // 3 * 3 if i % 4 == 0 else i for _, i in members])
+    sides = line_dedup.sides_of(line_dedup.least_hashes(own), line_dedup.line_keys(own)[:, 0])
+    i, j = (x.ravel() for x in np.indices((len(own), len(own))))
+    lanes = line_dedup.agreeing(sides, i, j).reshape(len(own), -1)
+    plain = sides.view(np.uint8).reshape(len(own), -1)
+    assert (lanes == (plain[:, None] == plain[None]).sum(axis=2)).all()
+    like = lambda x, y: line_dedup.similar(own[x], own[y], 0.9) and (lanes[x, y] >= line_dedup.AGREE or min(len(own[x]), len(own[y])) < line_dedup.SHORT)
+    links = [(m, n) for m, (k, x) in enumerate(members) for n, (h, y) in enumerate(members[:m]) if k == h and like(x, y)]
+    same = [(m, n) for m in range(len(members)) for n in range(m) if known[m] == known[n]]
+    pairs = line_dedup.joined(lines, keys, known, 0.9)
+    rows = range(len(members))
+    assert len(links) > 100 and groups([*pairs, *same], rows) == groups([*links, *same], rows) != groups(same, rows)
+
+
+@pytest.mark.parametrize("least", [1, 4, 1000])
+def test_whole_keys_are_handed_on(least):
+    keys = [1, 1, 2, 3, 3, 3, 4, 5, 5, 5, 5, 5, 6]
+    for cut in (1, 2, 5, 13):
+        parts = []
+        solve = lambda rows: parts.append(rows.column("key").to_pylist()) or rows.to_batches()[0]  # noqa: E731, B023
+        list(linking.by_key(solve, least)(pa.RecordBatch.from_arrays([pa.array(keys[k : k + cut])], names=["key"]) for k in range(0, len(keys), cut)))
+        assert [k for p in parts for k in p] == keys and all(len(p) >= least for p in parts[:-1])
+        assert all(p[-1] != q[0] for p, q in zip(parts, parts[1:])) and (least > 1 or all(len(set(p)) == 1 for p in parts))
