@@ -383,3 +383,19 @@ def test_whole_keys_are_handed_on(least):
         list(linking.by_key(solve, least)(pa.RecordBatch.from_arrays([pa.array(keys[k : k + cut])], names=["key"]) for k in range(0, len(keys), cut)))
         assert [k for p in parts for k in p] == keys and all(len(p) >= least for p in parts[:-1])
         assert all(p[-1] != q[0] for p, q in zip(parts, parts[1:])) and (least > 1 or all(len(set(p)) == 1 for p in parts))
+
+
+def test_wide_buckets_are_compared_many_rows_a_step(monkeypatch):
+    """Rows of like length in one bucket take a comparison a step, not one a row."""
+    calls = []
+    one = line_dedup.agreeing
+    monkeypatch.setattr(line_dedup, "agreeing", lambda *x: calls.append(1) or one(*x))
+    r = np.random.default_rng(1)
+    buckets, rows = 40, 2 * line_dedup.WIDE
+    n = buckets * rows
+    sides = r.integers(-(1 << 62), 1 << 62, (len(line_dedup.SIDES), n))
+    sides[:, ::rows] = sides[:, rows - 1 :: rows]  # the first and the last row of a bucket are alike
+    columns = [np.repeat(np.arange(buckets) * 64, rows), np.full(n, 100, np.int32), np.arange(n), *sides]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "n", "key", *line_dedup.SIDES])
+    found = [i for b in line_dedup._alike(0.9)(iter([batch])) for i in b.column("id").to_pylist()]
+    assert sorted(found) == sorted([*range(0, n, rows), *range(rows - 1, n, rows)]) and len(calls) < 3 * rows
