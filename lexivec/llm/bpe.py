@@ -9,10 +9,13 @@ a shared prefix are the same in every word, which lets words be walked as a trie
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 #: The words of a tokenizer whose merges carry an end-of-word mark have their last symbol moved up by this.
 LAST = 0x2000
+#: Code points from here on may be of other classes to the tokenizer library than to `regex`.
+FAR = re.compile("[\u0530-\U0010ffff]")
 
 
 class LastTokenStates:
@@ -28,7 +31,7 @@ class LastTokenStates:
 
         self.vocab, self.ranks = vocab, ranks
         self.token = {i: t for t, i in vocab.items()}
-        self.length = {i: len(t) for t, i in vocab.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in vocab.values()}
         self.ends = ahocorasick.Automaton()
         for token, i in vocab.items():
             self.ends.add_word(token, (i, len(token)))
@@ -122,23 +125,38 @@ class LastTokenStates:
         self.extend(word, last, count)
         return count
 
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        """Encode distinct words, in any order: a depth-first walk over their trie, so that the states of a prefix that
-        several words share are computed once. Sorted words visit the trie's leaves depth first; what the next word
-        shares with the last one is the part of the path that stays."""
-        out: list[list[int]] = [[] for _ in words]
-        last, count, before, length = [self.START], [0], "", self.length
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        """Encode distinct words, in any order, to ids as little-endian unsigned 32-bit integers: a depth-first walk over
+        their trie, so that the states of a prefix that several words share are computed once. Sorted words visit the
+        trie's leaves depth first; what the next word shares with the last one is the part of the path that stays. As
+        extend(), but each state carries its prefix's ids."""
+        out = [b""] * len(words)
+        last, ids, before, pairs, judge = [self.START], [b""], "", self._pairs, self.judge
+        matches, packed = self.ends.iter, self.packed
         for k in sorted(range(len(words)), key=words.__getitem__):
-            word, shared, most = words[k], 0, min(len(before), len(words[k]))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :], count[shared + 1 :]
-            self.extend(word, last, count)
-            ids, i = [], len(word)
-            while i:
-                ids.append(last[i])
-                i -= length[last[i]]
-            out[k], before = ids[::-1], word
+            word, done, most = words[k], 0, min(len(before), len(words[k]))
+            while done < most and before[done] == word[done]:
+                done += 1
+            del last[done + 1 :], ids[done + 1 :]
+            if len(pairs) > self.MOST_PAIRS:
+                pairs.clear()
+            for end, (token, length) in matches(word):
+                if end != done:
+                    if end > done:
+                        break
+                    continue
+                j = end + 1 - length
+                left = last[j]
+                known = pairs.get(key := left << 21 | token)
+                if known is None:
+                    known = pairs[key] = judge(left, token)
+                if known:
+                    last.append(token)
+                    ids.append(ids[j] + packed[token])
+                    done += 1
+            if done != len(word):
+                raise ValueError(f"no token ends at {done} of {word!r}: the vocabulary lacks a symbol")
+            out[k], before = ids[-1], word
         return out
 
 
@@ -204,7 +222,7 @@ class Classes:
         return self._odd
 
     def stand_in(self, text: str) -> str:
-        if text.isascii() or max(text) < "԰":
+        if text.isascii() or not FAR.search(text):
             return text
         return text.translate(self.odd())
 

@@ -10,8 +10,9 @@ repeated rows are kept row by row; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import codecs
 import hashlib
-import struct
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -35,60 +36,47 @@ class WordCodec:
         self.find = regex.compile(PATTERN)
         self.added = dict(added)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if added else None
-        self.symbols = bpe.byte_symbols()
+        letter, digit, blank = ("".join(c for c in map(chr, range(0x530)) if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+        # the kinds of words begin with different characters, so the most frequent kind is tried first
+        self.find_near = re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{digit}]|[^{re.escape(blank)}{letter}{digit}]+").findall
+        self.symbols = "".join(bpe.byte_symbols())
         self.token_of = {i: bpe.unpacked(t) for t, i in self.vocab.items()} | {i: t for t, i in added}
         self.marked = {c: chr(ord(c) + bpe.LAST) for c in self.symbols}
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.most, self.most_words = 250_000, 200_000
-
-    def split(self, chunk: str) -> list[str]:
-        """Its words in the byte-level alphabet, the last symbol of each marked."""
-        marked = self.marked
-        if chunk.isascii():
-            text = chunk.lower()
-            if text.isalpha():
-                return [text[:-1] + marked[text[-1]]]
-            words = self.find.findall(text)
-            if text.isprintable():
-                return [w[:-1] + marked[w[-1]] for w in words]
-        else:
-            text = unicodedata.normalize("NFC", chunk)
-            text = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
-            same = bpe.CLASSES.stand_in(text)
-            words = self.find.findall(text) if same is text else [text[m.start() : m.end()] for m in self.find.finditer(same)]
-        symbol, out = self.symbols.__getitem__, []
-        for w in words:
-            s = "".join(map(symbol, w.encode()))
-            out.append(s[:-1] + marked[s[-1]])
-        return out
-
-    def learn(self, wanted: set[str]) -> None:
-        """Put chunks into the memory: the trie walk over their new words."""
-        parts = {c: self.split(c) for c in wanted}
-        new = list({w for ws in parts.values() for w in ws} - self.words.keys())
-        pack = struct.pack
-        for word, ids in zip(new, self.states.encode_all(new)):
-            self.words[word] = pack(f"<{len(ids)}I", *ids)
-        words = self.words
-        for c, ws in parts.items():
-            self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        self.most = 250_000
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text, in lower case. Below bpe.FAR a pattern of plain ranges finds the same words sooner."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ") if "Σ" in text else text
+        text = text.lower()
+        if not bpe.FAR.search(text):
+            return self.find_near(text)
+        same = bpe.CLASSES.stand_in(text)
+        return self.find.findall(text) if same is text else [text[m.start() : m.end()] for m in self.find.finditer(same)]
+
+    def spelt(self, word: str) -> str:
+        """A word in the byte-level alphabet, its last symbol marked."""
+        if not (word.isascii() and word.isprintable()):
+            word = codecs.charmap_decode(word.encode(), "strict", self.symbols)[0]
+        return word[:-1] + self.marked[word[-1]]
+
+    def learn(self, wanted: list[str]) -> None:
+        """Put words into the memory: the trie walk over them."""
+        self.words.update(zip(wanted, self.states.encode_all([self.spelt(w) for w in wanted])))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [self.cut.split(t) if self.cut and any(a in t for a in self.added) else [t] for t in texts]
-        chunked = [[p.split(" ") if k % 2 == 0 else p for k, p in enumerate(parts)] for parts in cut]
+        found = [[self.split(p) if k % 2 == 0 else p for k, p in enumerate(parts)] for parts in cut]
         wanted: set[str] = set()
-        wanted.update(*(p for parts in chunked for p in parts[::2]))
-        old: dict[str, bytes] = {}
-        if len(self.chunks) > self.most:  # what this batch needs stays, the rest is forgotten
-            old, self.chunks = self.chunks, {}
-            self.chunks = {c: old[c] for c in wanted if c in old}
-        if len(self.words) > self.most_words:
-            self.words = {}
-        self.learn(wanted - self.chunks.keys())
-        known = self.chunks.__getitem__
-        return [b"".join([b"".join(map(known, p)) if k % 2 == 0 else self.added[p].to_bytes(4, "little") for k, p in enumerate(parts)]) for parts in chunked]
+        wanted.update(*(p for parts in found for p in parts[::2]))
+        if len(self.words) > self.most:  # what this batch needs stays, the rest is forgotten
+            self.words = {w: ids for w, ids in self.words.items() if w in wanted}
+        self.learn(list(wanted - self.words.keys()))
+        known = self.words.__getitem__
+        return [b"".join([b"".join(map(known, p)) if k % 2 == 0 else self.added[p].to_bytes(4, "little") for k, p in enumerate(parts)]) for parts in found]
 
     def decode(self, ids: bytes) -> str:
         """As the library does with special tokens kept; the file names no decoder, so tokens are joined by spaces."""

@@ -68,6 +68,19 @@ def test_memories_may_be_forgotten():
     assert len(m) + len(m.old) <= 6
 
 
+def test_a_word_is_learnt_once_whatever_stands_beside_it():
+    c = bpe_codec.WordCodec(WORDS)
+    learnt = []
+    walk = c.states.encode_all
+    c.states = type("States", (), {"encode_all": staticmethod(lambda words: learnt.extend(words) or walk(words))})
+    for x in ("Word, word. (word)\nword!", "word\tword; WORD, a"):
+        c.encode_batch([x])
+    assert set(c.words) == {"word", ",", ".", "(", ")", "!", ";", "a"} and len(learnt) == len(c.words)
+    for x in [chr(k) for k in range(0x530)]:
+        for t in (x, f"a{x}b1{x}?{x}'s", f"'{x}{x}"):
+            assert c.find_near(t) == c.find.findall(t), t
+
+
 def test_pairs_are_judged_as_merging_does():
     states, vocab, _ = bpe.load(BYTES)
     r = random.Random(5)
