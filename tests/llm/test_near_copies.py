@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -221,6 +222,21 @@ def test_segments_miss_no_short_line():
             assert line_dedup.segment_keys(a, 0.9) & line_dedup.segment_keys(b, 0.9)
 
 
+def test_keys_of_many_short_lines_take_little_memory():
+    r = random.Random(8)
+    lines = ["".join(r.choices("abcdefghij ", k=40)) + str(k) for k in range(3000)]
+    keys = line_dedup.line_keys(lines)[:, 0].copy()
+    tracemalloc.start()
+    buckets, counts, _ = line_dedup._buckets(lines, keys, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(buckets) == counts.sum() and peak < 80 * len(buckets)
+    cuts = np.cumsum(counts)[:-1]
+    for line, own in list(zip(lines, np.split(buckets, cuts)))[::100]:
+        kinds = line_dedup.KINDS
+        assert {int(b) >> 6 for b in own[own & kinds == line_dedup.SEGMENT]} == {k >> 6 for k in line_dedup.segment_keys(line, 0.9)}
+
+
 def test_fuzzy_lines_hard_rows(docs, rows, empty):
     got = line_dedup.dedup_lines(docs).collect()
     assert len(got) == len(rows)
