@@ -93,6 +93,24 @@ def test_components(spark):
     assert got == {x: c for x, c in wanted.items() if any(x in p and p[0] != p[1] for p in pairs)}
 
 
+def test_a_set_of_rows_goes_on_once(spark, monkeypatch):
+    sets = [(1, 2, 3), (1, 2, 4), (5, 6), (7, 8, 9, 10)]
+    rows = [(100 * k + copy, i) for k, ids in enumerate(sets) for copy in range(6) for i in ids] + [(999, 11)]
+    written = {}
+    write = linking.common.materialise
+    monkeypatch.setattr(linking.common, "materialise", lambda df, name, packed=False: written.setdefault(name, write(df, name, packed)))
+
+    def prepare(ids):
+        known = {r["id"] for r in ids.collect()}
+        assert known == set(range(1, 11))
+        return lambda pairs: pairs.where("b <> 10"), lambda placed: placed.select(F.col("id").alias("a"), F.lit(7).cast("bigint").alias("b")).where("a = 10"), ids.select("id", F.lit(1).alias("bytes"))
+
+    monkeypatch.setattr(linking, "components", lambda edges, f=linking.components: (written.pop("edges", None), f(edges))[1])
+    got = {(r["id"], r["component"]) for r in linking.link(spark.createDataFrame(rows, "key bigint, id bigint"), prepare).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 7), (9, 7), (10, 7)}
+    assert written["shared"].count() == sum(map(len, sets))
+
+
 def test_a_bucket_of_unlinked_rows_is_resolved_in_tiles(spark, monkeypatch):
     """10,000 rows under one key, of which two far apart and a few neighbours are linked."""
     monkeypatch.setattr(linking, "BUCKET_BYTES", 400_000)
