@@ -433,3 +433,35 @@ def test_wide_buckets_are_compared_many_rows_a_step(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "n", "key", *line_dedup.SIDES])
     found = [i for b in line_dedup._alike(0.9)(iter([batch])) for i in b.column("id").to_pylist()]
     assert sorted(found) == sorted([*range(0, n, rows), *range(rows - 1, n, rows)]) and len(calls) < 3 * rows
+
+
+def test_a_pair_is_measured_in_one_lane(monkeypatch):
+    """Lines that agree in several lanes stand in a group of each, but are measured in that of the first; no link is lost by it."""
+    r = random.Random(12)
+    texts = [base_text(r, 30) for _ in range(10)]
+    lines = sorted({edited(r, t, r.randint(0, 10)) for t in texts for _ in range(12)})
+    keys = line_dedup.line_keys(lines)[:, 0].copy()
+    buckets, counts, sides = line_dedup._buckets(lines, keys, 0.9)
+    rows, n = np.repeat(np.arange(len(lines)), counts), np.array([len(x) for x in lines], np.int32)
+    order = np.lexsort((keys.view(np.int64)[rows], n[rows], buckets.view(np.int64)))
+    rows, buckets = rows[order], buckets[order]
+    columns = [buckets.view(np.int64), n[rows], keys[rows].view(np.int64), *(s.view(np.int64) for s in sides[rows].T.copy())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "n", "key", *line_dedup.SIDES])
+    number = {k: i for i, k in enumerate(keys.view(np.int64).tolist())}
+    members = sorted((g, number[i]) for b in line_dedup._alike(0.9)(iter([batch])) for g, i in zip(b.column("key").to_pylist(), b.column("id").to_pylist()))
+    own, measured, one = np.array([i for _, i in members]), [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda numbers, ends, a, b, most: measured.extend(zip(own[a].tolist(), own[b].tolist())) or one(numbers, ends, a, b, most))
+
+    def found(names):
+        measured.clear()
+        pairs = line_dedup.joined([lines[i] for i in own], names, own, 0.9)
+        times = defaultdict(int)
+        for a, b in measured:
+            times[min(a, b), max(a, b)] += 1
+        return groups([(int(own[a]), int(own[b])) for a, b in pairs], range(len(lines))), max(times.values()), set(times)
+
+    names = np.array([g for g, _ in members])
+    once, often = found(names), found(-1 - names)  # a negative name has no lane
+    linked = {(i, j) for j in range(len(lines)) for i in range(j) if line_dedup.similar(lines[i], lines[j], 0.9)}
+    assert once[0] == often[0] == groups(sorted(linked), range(len(lines))) and len(linked) > 20
+    assert once[1] == 1 < often[1] and once[2] == often[2]
